@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import best_fit, byte_bpe
+from cairn.llm import best_fit, byte_bpe, interleaved, language_id, pii_feistel
 
 QUERIES = {
+    "op3_pii_feistel": pii_feistel.query,
+    "op4_interleaved_documents": interleaved.query,
+    "op5_language_id": language_id.query,
     "op7_best_fit_packing": best_fit.query,
     "op8_byte_bpe": byte_bpe.query,
 }
