@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.llm import best_fit, byte_bpe, interleaved, language_id, pii_feistel
+from cairn.llm import best_fit, byte_bpe, interleaved, language_id, lz_fingerprint, pii_feistel
 
 QUERIES = {
+    "op2_lz_fingerprint": lz_fingerprint.query,
     "op3_pii_feistel": pii_feistel.query,
     "op4_interleaved_documents": interleaved.query,
     "op5_language_id": language_id.query,
