@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import best_fit, byte_bpe, interleaved, language_id, lz_fingerprint, pii_feistel
+from cairn.llm import best_fit, byte_bpe, interleaved, label_shards, language_id, lz_fingerprint, pii_feistel
 
 QUERIES = {
     "op2_lz_fingerprint": lz_fingerprint.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": language_id.query,
     "op7_best_fit_packing": best_fit.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op9_label_shards": label_shards.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
