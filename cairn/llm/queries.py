@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import best_fit, byte_bpe, interleaved, label_shards, language_id, lz_fingerprint, pii_feistel
+from cairn.llm import best_fit, byte_bpe, interleaved, label_shards, language_id, lsh_forest, lz_fingerprint, pii_feistel
 
 QUERIES = {
     "op2_lz_fingerprint": lz_fingerprint.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_best_fit_packing": best_fit.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_label_shards": label_shards.query,
+    "op10_lsh_forest_join": lsh_forest.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
