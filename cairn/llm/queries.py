@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.llm import best_fit, byte_bpe, interleaved, label_shards, language_id, lsh_forest, lz_fingerprint, pii_feistel
+from cairn.llm import best_fit, byte_bpe, interleaved, label_shards, language_id, lsh_forest, lz_fingerprint, paragraph_dedup, pii_feistel
 
 QUERIES = {
+    "op1_paragraph_dedup": paragraph_dedup.query,
     "op2_lz_fingerprint": lz_fingerprint.query,
     "op3_pii_feistel": pii_feistel.query,
     "op4_interleaved_documents": interleaved.query,
