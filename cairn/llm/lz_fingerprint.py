@@ -11,7 +11,7 @@ sorted by range partitions, so neighbours meet within a partition; only the firs
 matched across partitions.
 
 Cases: a null text is the empty text, whose fingerprint is the empty string; two empty fingerprints are alike (1), an
-empty one is unlike any other (0); rows that share a doc_id follow each other in the order of their texts; a null doc_id
+empty one is unlike any other (0); rows that share a doc_id follow each other in the order of a hash of their texts; a null doc_id
 comes last; a single document is its own neighbour; an empty table gives an empty table; other columns are not read.
 """
 
@@ -164,7 +164,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     source = docs.select("doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # a hash: the bounds of ranges go to the driver
     ranged = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
     table = stored(ranged.mapInArrow(within, EDGE), "fingerprints")
 

@@ -181,9 +181,10 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs without repeated passages; documents that lose all their words go."""
-    found = repeats(docs, **options).where("removed_words > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("text").alias("_new"))
-    joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    joined = joined.where("_id IS NULL OR _new <> ''").withColumn("text", F.coalesce("_new", "text"))
+    own = "_" * (1 + max(map(len, docs.columns)))  # begins no name of docs
+    found = repeats(docs, **options).where("removed_words > 0").select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.col("text").alias(f"{own}new"))
+    joined = docs.join(found, (F.col("doc_id") == F.col(f"{own}id")) & (F.xxhash64("text") == F.col(f"{own}hash")), "left")
+    joined = joined.where(f"{own}id IS NULL OR {own}new <> ''").withColumn("text", F.coalesce(f"{own}new", "text"))
     return joined.select(docs.columns)
 
 
