@@ -7,8 +7,9 @@ the shortest prefix p. Each trie node links its members to its least member, whi
 large the node is. Candidates are verified by the exact Jaccard similarity of their sets of word shingles.
 
 Nodes whose members still belong to different classes are searched once more: the members outside the node's largest
-class are compared with all members of the others. So no pair that a trie node shows is lost to the choice of the least
-member, and members of one class, however many, are never paired with each other.
+class are compared with all members of the others, in blocks of bounded size that give at most one link for each text
+and class. So no class is lost to the choice of the least member, and members of one class, however many, are never
+compared with each other.
 
 Result: a row for each document: class_id (the least doc_id that it is linked with, directly or by others), copy_of (the
 least doc_id of the same text), links (the verified links of that text in the forest's link table, to other texts).
@@ -28,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import arrow_map, components, documents, slices, stored
-from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, WordHashes, jaccard, shingles
+from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, jaccard, shingles, word_hashes
 
-TREES, DEPTH, RECALL = 16, 8, 0.9995
+TREES, DEPTH, RECALL, BLOCK = 16, 8, 0.9995, 256
 
 
 def shortest_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -42,12 +43,12 @@ def sketches(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
     """doc_id, key (the text's 128-bit digest; empty for null), signature (null without words)."""
 
     def make():
-        known, minhash = WordHashes(), MinHash(trees * depth)
+        minhash = MinHash(trees * depth)
 
         def step(columns: dict) -> dict:
             out = {"doc_id": columns["doc_id"], "key": [], "signature": []}
             for text in columns["text"]:
-                hashes = shingles(known.of(text or ""), words)
+                hashes = shingles(word_hashes(text or ""), words)
                 out["key"].append(b"" if text is None else xxhash.xxh3_128_digest(text.encode()))
                 out["signature"].append(minhash.of(hashes).astype(">u4").tobytes() if len(hashes) else None)
             return out
@@ -57,11 +58,15 @@ def sketches(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, key binary, signature binary", ["doc_id", "key", "signature"])
 
 
+def trie_node(tree, prefix, depth: int):
+    """The node that a signature's label has in a tree under a prefix."""
+    return F.xxhash64(tree, prefix, F.substr(F.col("signature"), tree * (4 * depth) + 1, prefix * 4))
+
+
 def trie_nodes(texts: DataFrame, trees: int, depth: int, prefixes: list[int]) -> DataFrame:
     """node (of a trie, hashed), level (its prefix), id: a row for each tree and prefix of each text."""
     rows = texts.where("signature IS NOT NULL").select("id", F.col("signature"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    label = lambda p: F.xxhash64("tree", F.lit(p), F.substr("signature", F.col("tree") * (4 * depth) + 1, F.lit(4 * p)))
-    levels = F.explode(F.array(*(F.struct(F.lit(p).alias("level"), label(p).alias("node")) for p in prefixes)))
+    levels = F.explode(F.array(*(F.struct(F.lit(p).alias("level"), trie_node(F.col("tree"), F.lit(p), depth).alias("node")) for p in prefixes)))
     return rows.select("id", levels.alias("x")).select("x.node", "x.level", "id")
 
 
@@ -76,13 +81,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
-        known, last, last_set = WordHashes(), None, None
+        last, last_set = None, None
         for batch in slices(batches):
             a, b = [], []
             for x, y, text_x, text_y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 if y != last:  # a hot partner comes many times in a row
-                    last, last_set = y, np.unique(shingles(known.of(text_y), words))
-                if jaccard(np.unique(shingles(known.of(text_x), words)), last_set) >= threshold - 1e-12:
+                    last, last_set = y, np.unique(shingles(word_hashes(text_y), words))
+                if jaccard(np.unique(shingles(word_hashes(text_x), words)), last_set) >= threshold - 1e-12:
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -109,12 +114,61 @@ def links(docs: DataFrame, sketched: DataFrame, threshold: float, trees: int, de
     named = shallow.join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
     named = stored(named.select("node", "id", F.coalesce("root", "id").alias("class")), "named")
     sizes = named.groupBy("node", "class").count()
-    mixed = sizes.groupBy("node").agg(F.max(F.struct("count", "class")).alias("m"), F.count("*").alias("n")).where("n > 1").select("node", F.col("m.class").alias("main"))
-    open_nodes = stored(named.join(mixed, "node"), "open")
-    outside = open_nodes.where("class <> main").select("node", F.col("id").alias("x"), F.col("class").alias("class_x"))
-    crossing = outside.join(open_nodes.select("node", "id", "class", "main"), "node").where("class <> class_x AND (class = main OR id < x)")
-    more = crossing.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return found.union(verified(stored(more, "crossing"), bodies, threshold, words)).distinct()
+    mixed = sizes.groupBy("node").agg(F.max(F.struct("count", "class")).alias("m"), F.sum("count").alias("members"), F.count("*").alias("n"))
+    mixed = mixed.where("n > 1").select("node", F.col("m.class").alias("main"), "members", (F.col("members") - F.col("m.count")).alias("outside"))
+    about = texts.select("id", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: trie_node(t, F.lit(shortest), depth)).alias("nodes"))
+    about = about.join(bodies, "id")
+    return found.union(crossing_links(named.join(mixed, "node"), about, threshold, words)).distinct()
+
+
+def crossing_links(named: DataFrame, about: DataFrame, threshold: float, words: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): for each text outside the main class of a trie node and each other class there, the likest member of that
+    class that reaches the threshold, for each block of members.
+
+    A node's members and its outsiders are dealt over blocks, and each block of one meets each block of the other in a
+    group of bounded size. A pair that shares several nodes is looked at in the first one alone.
+    """
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    rows = named.withColumn("across", F.ceil(F.col("members") / block).cast("int")).withColumn("down", F.ceil(F.col("outside") / block).cast("int"))
+    rows = rows.join(about, "id").select("node", "id", "class", "main", "across", "down", "nodes", "text")
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["node", "id", "class", "main", "nodes", "text"]
+    inside = rows.select(*columns, F.lit(False).alias("asks"), place(F.col("across")).alias("x"), to(F.col("down")).alias("y"))
+    outside = rows.where("class <> main").select(*columns, F.lit(True).alias("asks"), to(F.col("across")).alias("x"), place(F.col("down")).alias("y"))
+
+    def meet(key, table):
+        a, b = [], []
+        asks = table["asks"].to_numpy()
+        held, asking = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
+        if held.num_rows and asking.num_rows:
+            node, main = key[0].as_py(), held["main"][0].as_py()
+            ids, classes = held["id"].to_numpy(), held["class"].to_numpy()
+            nodes = np.array(held["nodes"].to_pylist(), np.int64)
+            first_seen = held["text"].to_pylist()
+            sets = [np.unique(shingles(word_hashes(t), words)) for t in first_seen]
+            sizes = np.array([len(x) for x in sets])
+            for i, own_class, own_nodes, text in zip(*(asking[c].to_pylist() for c in ("id", "class", "nodes", "text")), strict=True):
+                own = np.unique(shingles(word_hashes(text), words))
+                small, large = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+                same = nodes == np.array(own_nodes, np.int64)
+                here = nodes[np.arange(len(ids)), same.argmax(1)] == node
+                todo = np.flatnonzero(here & (classes != own_class) & ((classes == main) | (ids < i)) & (small >= threshold * large - 1e-9))
+                if not len(todo):
+                    continue
+                pool = np.concatenate([sets[k] for k in todo])
+                at = np.minimum(np.searchsorted(own, pool), len(own) - 1)
+                both = np.add.reduceat((own[at] == pool).astype(np.int64), np.cumsum(sizes[todo]) - sizes[todo])
+                alike = both / (sizes[todo] + len(own) - both)
+                best: dict[int, tuple] = {}
+                for k, value in zip(todo, alike.tolist(), strict=True):
+                    if value >= threshold - 1e-12:
+                        best[classes[k]] = max(best.get(classes[k], (0.0, 0)), (value, -ids[k]))
+                for _, other in best.values():
+                    a.append(max(i, -other))
+                    b.append(min(i, -other))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return inside.union(outside).groupBy("node", "x", "y").applyInArrow(meet, "a long, b long")
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, words: int = WORDS) -> DataFrame:

@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.taskcontext import TaskContext
 
 from cairn.llm.common import arrow_schema, documents, slices, stored
+from cairn.llm.shingles import span_hashes
 
 SIZE = 64
-BASE = 0x9E3779B97F4A7C15 | 1
-_inverse = pow(BASE, -1, 1 << 64)
 
 
 def phrase_ends(text: str, begun: list[int] = ()) -> list[int]:
@@ -53,42 +52,14 @@ def phrase_ends(text: str, begun: list[int] = ()) -> list[int]:
     return out
 
 
-class Powers:
-    """BASE to the i and its inverse, modulo 2^64, for as many positions as a text has had."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int):
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 4096)
-            for name, b in (("up", BASE), ("down", _inverse)):
-                powers = np.full(n, b, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
-        return self.up, self.down
-
-
-_powers = Powers()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads what differs in few bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def hashed(text: str, ends: list[int], size: int = SIZE) -> np.ndarray:
     """The least distinct phrase hashes. A phrase's hash is that of its characters, wherever it stands."""
     if not text:
         return np.zeros(0, np.uint32)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    up, down = _powers.upto(len(codes))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     stops = np.array(ends)
-    starts = np.concatenate([[0], stops[:-1]])
-    return np.unique((mixed((sums[stops] - sums[starts]) * down[starts]) >> np.uint64(32)).astype(np.uint32))[:size]
+    hashes = span_hashes(codes, np.concatenate([[0], stops[:-1]]), stops)
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:size]
 
 
 def signature(text: str, size: int = SIZE) -> np.ndarray:

@@ -32,25 +32,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import components, documents, slices, stored
 from cairn.llm.lsh_forest import texts_of
-from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, WordHashes, shingles
+from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
 LEAST, WINDOW, PARAGRAPH = 50, 24, 26
-BANDS, ROWS = 2, 2
-WORD = re.compile(r"\S+")
+BANDS, ROWS = 2, 3
+WORD = re.compile(r"[^\t-\r ]+")
+
+
+def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
+    """The least (or other pick) of each window along the last axis, by doubling."""
+    out, have = values, 1
+    while have * 2 <= width:
+        out, have = pick(out[..., :-have], out[..., have:]), have * 2
+    rest = width - have
+    return pick(out[..., :-rest], out[..., rest:]) if rest else out
 
 
 def starts(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Where paragraphs start: the places of the least hash (the last one of equals) in every window of shingles."""
+    """Where paragraphs start: the places that hold the least hash of some window of shingles."""
     if len(hashes) < window:
         return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
-    least = np.concatenate([views[at : at + 8192].argmin(1) + np.arange(at, min(at + 8192, len(views))) for at in range(0, len(views), 8192)])
-    return np.unique(len(hashes) - 1 - least)
+    least = sliding(hashes, window)
+    edge = np.zeros(window - 1, least.dtype)
+    return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), window, np.maximum) == hashes)
 
 
 def band_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragraph: int = PARAGRAPH, rows: int = ROWS) -> np.ndarray:
     """The distinct band keys of a document's paragraphs."""
-    if len(words) < window + WORDS - 1:
+    if len(words) < max(window + WORDS - 1, paragraph):
         return np.zeros(0, np.int64)
     hashes = shingles(words)
     at = starts(hashes, window)
@@ -59,27 +68,25 @@ def band_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragra
     if not len(at):
         return np.zeros(0, np.int64)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.stack([np.lib.stride_tricks.sliding_window_view(short * a + b, each)[at].min(1) for a, b in zip(minhash.a, minhash.b, strict=True)], 1)
-    keys = []
-    for band in range(minhash.k // rows):
-        key = np.full(len(at), band + 1, np.uint64)
-        for row in range(rows):
-            key = (key ^ least[:, band * rows + row].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        keys.append(key)
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    least = sliding(short * minhash.a[:, None] + minhash.b[:, None], each)[:, at].astype(np.uint64)
+    bands = least.reshape(minhash.k // rows, rows, len(at))
+    keys = np.repeat(np.arange(1, len(bands) + 1, dtype=np.uint64)[:, None], len(at), 1)
+    for row in range(rows):
+        keys = (keys ^ bands[:, row]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return np.unique(keys).view(np.int64)
 
 
 def bands(docs: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, id: a row for each distinct band key of each document."""
 
     def run(batches):
-        known, minhash = WordHashes(), MinHash(count * rows, 7)
+        minhash = MinHash(count * rows, 7)
         for batch in slices(batches):
             keys, ids = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text and doc_id is not None:
-                    keys.append(band_keys(known.of(text), minhash, rows=rows))
+                    keys.append(band_keys(word_hashes(text), minhash, rows=rows))
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
             none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys or none)), "id": pa.array(np.concatenate(ids or none))})
@@ -88,16 +95,16 @@ def bands(docs: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def shared_runs(words: np.ndarray, other: np.ndarray, least: int, threshold: float) -> list[tuple[int, int]]:
-    """Runs of words (start, end) whose shingles the other text has, at least `least` words long.
+    """Runs of words (start, end) whose shingles are in `other` (sorted shingles), at least `least` words long.
 
     Neighbouring runs join over a gap of up to two edited words while the whole stays at the threshold: with m of n
     shingles shared and as many in the other text, Jaccard is m / (2 n - m). A run must have enough different
     shingles to be a passage: few make a run of one repeated word look like any other such run.
     """
-    if min(len(words), len(other)) < least:
+    if len(words) < least or len(other) < least // 2:
         return []
     own = shingles(words)
-    hit = np.isin(own, shingles(other))
+    hit = other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
     edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
     joined: list[list[int]] = []  # start, end, shared
     for start, end in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -116,13 +123,13 @@ def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: floa
     both = pairs.join(bodies.select("id", "text"), "id").join(bodies.select(F.col("id").alias("other"), F.col("text").alias("text_other")), "other")
 
     def run(batches):
-        known, last, last_words = WordHashes(), None, None
+        last, last_set = None, None
         for batch in slices(batches):
             out: dict = {n: [] for n in ("id", "other", "start", "end", "n")}
             for i, j, text, text_other in zip(*(batch.column(c).to_pylist() for c in ("id", "other", "text", "text_other")), strict=True):
                 if j != last:  # a document that holds what many repeat comes many times in a row
-                    last, last_words = j, known.of(text_other)
-                if runs := shared_runs(known.of(text), last_words, least, threshold):
+                    last, last_set = j, np.unique(shingles(word_hashes(text_other)))
+                if runs := shared_runs(word_hashes(text), last_set, least, threshold):
                     places = [m.span() for m in WORD.finditer(text)]
                     for a, b in runs:
                         for n, v in zip(out, (i, j, places[a][0], places[b - 1][1], b - a), strict=True):

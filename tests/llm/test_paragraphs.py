@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from cairn.llm import paragraph_dedup as pd
-from cairn.llm.shingles import WordHashes
+from cairn.llm.shingles import word_hashes
 
 rng = random.Random(3)
 
@@ -23,17 +23,17 @@ def test_starts_by_brute_force():
     want = set()
     for i in range(len(hashes) - 23):
         window = hashes[i : i + 24].tolist()
-        want.add(i + max(k for k in range(24) if window[k] == min(window)))
+        want |= {i + k for k in range(24) if window[k] == min(window)}
     assert pd.starts(hashes, 24).tolist() == sorted(want)
 
 
 def test_every_long_passage_shares_a_band():
     from cairn.llm.shingles import MinHash
 
-    known, minhash = WordHashes(), MinHash(4, 7)
+    minhash = MinHash(6, 7)
     for _ in range(200):
         passage = words(50)
-        a, b = (known.of(" ".join(words(rng.randrange(80)) + passage + words(rng.randrange(80)))) for _ in range(2))
+        a, b = (word_hashes(" ".join(words(rng.randrange(80)) + passage + words(rng.randrange(80)))) for _ in range(2))
         assert np.intersect1d(pd.band_keys(a, minhash), pd.band_keys(b, minhash)).size
 
 
@@ -87,3 +87,15 @@ def test_query(spark):
             first.setdefault(texts[i], i)
     copies = {i for i, t in texts.items() if t in first and first[t] != i}
     assert copies <= {r.doc_id for r in rows if r.text == ""}
+
+
+def test_hashes_of_words_and_blocks(monkeypatch):
+    from cairn.llm import shingles
+
+    text = "Ünï the  the\n\x0btHe x " + "word " * 50 + "y" * 300
+    whole = word_hashes(text)
+    words = text.lower().split()
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    assert all(whole[i] == word_hashes(w)[0] for i, w in enumerate(words))
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    assert (word_hashes(text) == whole).all() and len(word_hashes(" \n")) == 0
