@@ -64,7 +64,8 @@ class _Sequence(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parts, self.text, self.skip, self.caption, self.figure = [], [], 0, None, None
+        self.parts, self.text, self.skip = [], [], 0
+        self.caption = self.figure = self.figure_caption = None
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -78,7 +79,7 @@ class _Sequence(HTMLParser):
         if tag in self.BLOCK:
             self.flush()
         if tag == "figure":
-            self.figure = len(self.parts)
+            self.figure, self.figure_caption = len(self.parts), None
         elif tag == "figcaption" and self.figure is not None:
             self.caption = []
         elif tag == "img":
@@ -86,13 +87,15 @@ class _Sequence(HTMLParser):
             named = dict(attrs)
             source = named.get("src") or ""
             digest = source[len(SCHEME) :].lower() if source.startswith(SCHEME) else hashlib.sha256(source.encode()).hexdigest()
-            self.parts.append(["media", None, digest, named.get("alt")])
+            inside = None if self.figure is None else self.figure_caption
+            self.parts.append(["media", None, digest, named.get("alt") if inside is None else inside])
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         if tag == "figcaption" and self.caption is not None:
             caption, self.caption = " ".join("".join(self.caption).split()), None
+            self.figure_caption = caption
             for part in self.parts[self.figure :]:
                 if part[0] == "media":
                     part[3] = caption

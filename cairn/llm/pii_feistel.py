@@ -4,6 +4,8 @@ Numbers and dates are found by pattern, validated (Luhn, mod 97, calendar, octet
 keyed permutation of the same format: an unbalanced Feistel network over a x b >= N with cycle walking permutes the
 values of a format of N values. The round function is keyed BLAKE2b, tweaked by the kind. Equal values get equal
 pseudonyms in every document, different ones stay different, whatever their separators; the key's holder can invert it.
+A date written month first
+is read back only where its new day is above twelve, so that it stays linked with the same date written otherwise.
 E-mail local parts, access keys and assigned secrets go the same way, character class by character class.
 
 Cases: a null text stays null, an empty one empty; numbers that fail their validation stay as they are; where two kinds
@@ -156,7 +158,7 @@ class Pseudonymiser:
         parts = re.split(r"[-/.]", m[0])
         sep, iso = re.search(r"[-/.]", m[0])[0], len(parts[0]) == 4
         y, mo, d = parts if iso else reversed(parts)
-        swapped = not iso and sep == "/" and int(mo) > 12  # month/day/year only where it can be nothing else
+        swapped = not iso and sep == "/" and int(mo) > 12  # month/day/year, where it can be nothing else
         if swapped:
             mo, d = d, mo
         try:
@@ -203,7 +205,7 @@ class Pseudonymiser:
 
 #: Kind, what a text must contain for it to be looked for, and its pattern.
 KINDS = [
-    ("secret", re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]"), re.compile(r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9_\-+/.]{8,})")),
+    ("secret", re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]"), re.compile(r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9_\-+/.]{7,}[A-Za-z0-9])")),
     ("access_key", re.compile("A[KS]IA"), re.compile(r"\bA[KS]IA[A-Z0-9]{16}\b")),
     ("email", re.compile("@"), re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")),
     ("iban", re.compile(r"\d"), re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
