@@ -19,7 +19,7 @@ def test_sequences_keep_order_and_captions():
         ["text", "T", None, None], ["text", "One & two", None, None], ["media", None, "ab", "Cap A"], ["text", "Mid", None, None], ["text", "dle", None, None],
         ["media", None, other, "other"], ["media", None, "cd", "First"], ["text", "tail", None, None],
     ]
-    assert il.parse_sequence(None) == [] and il.parse_sequence("<p>unclosed <img src='media:x'") == [["text", "unclosed", None, None]]
+    assert il.parse_sequence(None) == [] and il.parse_sequence("<p>unclosed <img src='media:x'") == [["text", "unclosed <img src='media:x'", None, None]]
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "x" * 192, "y" * 193, "ü🙂" * 4000])
