@@ -56,13 +56,18 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash for each lower-cased word; words are divided by ASCII white space."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of bytes start and end; words are divided by ASCII white space."""
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~_blank[raw]
     edge = np.diff(inside)
-    return span_hashes(raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash for each lower-cased word."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    return span_hashes(raw, *word_spans(raw))
 
 
 def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
