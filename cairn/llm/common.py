@@ -47,7 +47,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote, once nothing that is still to run reads it."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -69,6 +79,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         # ended: a set of stars (each node has one parent, and no parent has a parent)
         parents = after.select(F.col("b").alias("a")).distinct()
         done = after.groupBy("a").count().where("count > 1").isEmpty() and after.join(parents, "a", "left_semi").isEmpty()
+        discard(edges)
         edges = after
         if done:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -18,7 +18,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from cairn.llm.common import documents, stored
+from cairn.llm.common import discard, documents, stored
 
 SHARDS, ROUNDS, OVERHEAD = 40, 4, 16
 
@@ -56,7 +56,8 @@ def propagate(linked: DataFrame, n: int, shards: int, rounds: int, salts: int) -
         # the room is dealt over the salts without a rest
         quota = F.floor(share / salts) + (F.col("salt") < share % salts).cast("long")
         moved = movers.withColumn("shard", F.when(F.col("place") <= quota, F.col("target")).otherwise(F.col("shard")))
-        linked = stored(moved.select(linked.columns).union(ranked.where("target IS NULL").select(linked.columns)), "labels")
+        before, linked = linked, stored(moved.select(linked.columns).union(ranked.where("target IS NULL").select(linked.columns)), "labels")
+        discard(cells, *([before] if r else []))
     return linked
 
 
@@ -99,6 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     base = stored(nodes(docs, shards), "nodes")
     groups = base.groupBy("g").count().where("g IS NOT NULL AND count > 1").select("g", F.lit(0).alias("single"))
     marked = stored(base.join(groups, "g", "left").withColumn("single", F.coalesce("single", F.lit(1))), "marked")
+    discard(base)
     linked = propagate(marked.where("single = 0"), marked.count(), shards, rounds, salts)
     spread = even(linked.unionByName(marked.where("single = 1")), shards, salts)
     return spread.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

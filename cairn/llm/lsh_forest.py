@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_map, components, documents, slices, stored
+from cairn.llm.common import arrow_map, components, discard, documents, slices, stored
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, jaccard, shingles, word_hashes
 
 TREES, DEPTH, RECALL, BLOCK = 16, 8, 0.9995, 256
@@ -118,7 +118,9 @@ def links(docs: DataFrame, sketched: DataFrame, threshold: float, trees: int, de
     mixed = mixed.where("n > 1").select("node", F.col("m.class").alias("main"), "members", (F.col("members") - F.col("m.count")).alias("outside"))
     about = texts.select("id", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: trie_node(t, F.lit(shortest), depth)).alias("nodes"))
     about = about.join(bodies, "id")
-    return found.union(crossing_links(named.join(mixed, "node"), about, threshold, words)).distinct()
+    out = stored(found.union(crossing_links(named.join(mixed, "node"), about, threshold, words)).distinct(), "links")
+    discard(members, pairs, bodies, found, classes, named)
+    return out
 
 
 def crossing_links(named: DataFrame, about: DataFrame, threshold: float, words: int, block: int = BLOCK) -> DataFrame:
@@ -175,7 +177,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = T
     """doc_id, class_id, copy_of, links."""
     sketched = stored(sketches(docs, trees, depth, words), "sketches")
     known = sketched.where("doc_id IS NOT NULL")
-    edges = stored(links(docs, known, threshold, trees, depth, recall, words), "links")
+    edges = links(docs, known, threshold, trees, depth, recall, words)
     classes = components(edges).select(F.col("node").alias("copy_of"), "root")
     degree = edges.select("a").union(edges.select(F.col("b"))).groupBy("a").count().select(F.col("a").alias("copy_of"), "count")
     least = known.groupBy("key").agg(F.min("doc_id").alias("copy_of"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import components, documents, slices, stored
+from cairn.llm.common import components, discard, documents, slices, stored
 from cairn.llm.lsh_forest import texts_of
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
@@ -165,6 +165,7 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
     pairs = stored(bands(docs).join(shared.hint("SHUFFLE_HASH"), "key").where("id > other").select("id", "other").distinct(), "pairs")
     bodies = stored(texts_of(docs, pairs.select("id").union(pairs.select(F.col("other"))).distinct()), "texts")
     spans = stored(found_spans(pairs, bodies, least, threshold), "spans")
+    discard(pairs)
     linked = spans.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     degree = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
     # a document's spans are no more than its length allows for each document that holds one of its paragraphs

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import best_fit, language_id, lsh_forest, paragraph_dedup, pii_feistel
-from cairn.llm.common import documents, stored
+from cairn.llm.common import discard, documents, stored
 
 #: A prediction with a score at or below this is no known language.
 LEAST_SCORE = 0.25
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, read = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
