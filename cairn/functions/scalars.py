@@ -7,10 +7,13 @@ from pyspark.sql import Column
 
 GIB = 1 << 30
 #: Error codes by class.
-THROTTLE_CODES = ("RequestThrottledException", "ThrottlingException", "Throttling", "TooManyRequestsException", "RequestLimitExceeded", "SlowDown")
-SERVER_CODES = ("InternalServerException", "InternalServerError", "InternalError", "InternalFailure", "ServiceUnavailable", "ServiceUnavailableException", "RequestTimeout")
-DENIED_CODES = ("AccessDeniedException", "AccessDenied", "UnauthorizedOperation", "ValidationException")
-RETRYABLE_ERRNOS = ("ECONNRESET", "ECONNREFUSED", "ECONNABORTED", "EPIPE", "ETIMEDOUT")
+THROTTLE_CODES = ("Throttling", "ThrottlingException", "RequestThrottled", "RequestThrottledException", "RequestLimitExceeded", "TooManyRequestsException")
+SERVER_CODES = ("ServiceUnavailable", "InternalError", "InternalFailure", "InternalServerError", "InternalServerException", "ServiceUnavailableException", "SlowDown")
+DENIED_CODES = ("AccessDeniedException", "AccessDenied", "UnauthorizedOperation", "UnrecognizedClientException")
+TRANSIENT_ERRNOS = ("ECONNRESET", "ECONNABORTED", "ECONNREFUSED", "ETIMEDOUT", "EPIPE")
+#: Codes of our own for errors without a code of the service.
+CHECKSUM, NETWORK = "ChecksumMismatch", "NetworkError"
+RETRYABLE = (*THROTTLE_CODES, *SERVER_CODES, *TRANSIENT_ERRNOS, CHECKSUM, NETWORK)
 
 
 def block_checksum(data: Column) -> Column:
@@ -69,12 +72,13 @@ def device_name(device: Column, ordinal: Column) -> Column:
 
 
 def manifest_path(artifact: Column) -> Column:
-    """The manifest beside an image or archive."""
-    return F.concat(F.regexp_replace(artifact, r"(\.img)?(\.szc|\.zst)?$", ""), F.lit(".manifest.json"))
+    """The manifest beside an image or its archive (.img, .img.zst); any other name gets the suffix."""
+    return F.concat(F.regexp_replace(artifact, r"\.img(\.zst)?$", ""), F.lit(".manifest.json"))
 
 
-def egress_note(cost: Column) -> Column:
-    return F.when(cost == 0, F.lit("")).otherwise(F.concat(F.lit(" + egress "), usd(cost)))
+def egress_note(gb: Column, rate: Column, cost: Column) -> Column:
+    """The part of an estimate that is transfer, empty where there is none."""
+    return F.when(cost == 0, F.lit("")).otherwise(F.format_string("; egress %.1f GB @ %s/GB = %s", gb.cast("double"), usd(rate), usd(cost)))
 
 
 def error_class(code: Column) -> Column:
@@ -87,8 +91,9 @@ def error_class(code: Column) -> Column:
 
 
 def is_retryable(code: Column, message: Column) -> Column:
-    """Checksum mismatches, throttling, server and connection errors, and ends of input where there should be none."""
-    return F.coalesce(error_class(code).isin("throttle", "server") | code.isin("ChecksumMismatch", "NetworkError", *RETRYABLE_ERRNOS), F.lit(False)) | F.coalesce(message.contains("unexpected EOF"), F.lit(False))
+    """Checksum mismatches, throttling, server and connection errors; without a code, ends of input where there should be
+    none."""
+    return F.when(code.isNotNull(), code.isin(*RETRYABLE)).otherwise(F.coalesce(message.contains("unexpected EOF"), F.lit(False)))
 
 
 def token_fresh(expiry: Column, now: Column, margin: str = "2 minutes") -> Column:

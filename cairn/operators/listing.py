@@ -55,3 +55,21 @@ def checked_listing(pages: DataFrame) -> DataFrame:
     if order_violations(located, "_position", "idx").first().bad:
         raise ValueError("block indexes do not rise")
     return pages.select("idx", "token", "expiry")
+
+
+IMAGES = "image_id STRING, root_device STRING, mappings ARRAY<STRUCT<device:STRING,snapshot_id:STRING>>"
+
+
+def image_volumes(images: DataFrame, root_only: bool = False) -> DataFrame:
+    """image_id, ordinal, device, root, snapshot_id, file: the volumes of images (IMAGES) that have a snapshot."""
+    from cairn.functions.scalars import device_name
+
+    rows = images.select("image_id", "root_device", F.posexplode("mappings").alias("ordinal", "m")).where("coalesce(m.snapshot_id, '') <> ''")
+    named = rows.select("image_id", "ordinal", F.col("m.device").alias("device"), F.coalesce(F.col("m.device") == F.col("root_device"), F.lit(False)).alias("root"), F.col("m.snapshot_id").alias("snapshot_id"))
+    named = named.withColumn("file", F.concat(device_name(F.col("device"), F.col("ordinal")), F.lit(".img")))
+    return named.where("root") if root_only else named
+
+
+def group_report(volumes: DataFrame, results: DataFrame) -> DataFrame:
+    """Volumes of image_volumes with what was done for their snapshots (snapshot_id, allocated_bytes, image_sha256)."""
+    return volumes.join(results, "snapshot_id", "left")

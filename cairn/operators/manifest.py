@@ -46,7 +46,7 @@ def violations(manifests: DataFrame) -> DataFrame:
     block = kinds.where(~group).select("snapshotId", "blockSize", "logicalSize", F.explode("blocks").alias("b"))
     per_block = {
         "offset": F.col("b.offset") != F.col("b.index") * F.col("blockSize"),
-        "length": (F.col("b.length") < 0) | (F.col("b.length") > F.col("blockSize")) | ((F.col("b.length") == 0) & (F.coalesce(F.col("b.sha256"), F.lit("")) != "")),
+        "length": (F.coalesce("b.length", F.lit(0)) <= 0) | (F.col("b.length") > F.col("blockSize")),
         "bounds": F.col("b.offset") + F.col("b.length") > F.col("logicalSize"),
     }
     rows = block.select("snapshotId", F.explode(F.filter(F.array(*(F.when(broken, name) for name, broken in per_block.items())), lambda r: r.isNotNull())).alias("rule"), F.col("b.index").alias("idx"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from cairn.functions.scalars import DENIED_CODES, RETRYABLE_ERRNOS, SERVER_CODES, THROTTLE_CODES
+from cairn.functions.scalars import CHECKSUM, DENIED_CODES, RETRYABLE, THROTTLE_CODES
 
 MAX_CONCURRENCY, CALM_SECONDS = 32, 15.0
 
@@ -62,7 +62,9 @@ def is_denied(error: BaseException) -> bool:
 
 def is_retryable(error: BaseException) -> bool:
     code = getattr(error, "code", None)
-    return code in THROTTLE_CODES + SERVER_CODES + ("ChecksumMismatch", "NetworkError") + RETRYABLE_ERRNOS or isinstance(error, ConnectionError | TimeoutError) or "unexpected EOF" in str(error)
+    if isinstance(code, str):
+        return code in RETRYABLE
+    return isinstance(error, ConnectionError | TimeoutError) or "unexpected EOF" in str(error)
 
 
 def delay(attempt: int, throttled: bool, draw: Callable[[], float] = random.random) -> float:
@@ -86,9 +88,9 @@ def retried(call: Callable[[], object], attempts: int = 5, sleep: Callable[[floa
 
 def checked_block(data: bytes, sha256: str | None) -> bytes:
     if not data or not sha256:
-        raise SourceError("ChecksumMismatch", "no data or no checksum")
+        raise SourceError(CHECKSUM, "no data or no checksum")
     if base64.b64encode(hashlib.sha256(data).digest()).decode() != sha256:
-        raise SourceError("ChecksumMismatch", "the bytes do not match")
+        raise SourceError(CHECKSUM, "the bytes do not match")
     return data
 
 

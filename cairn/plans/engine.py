@@ -140,6 +140,10 @@ class Engine:
         need = listed.agg(F.count(F.when(F.col("_data"), 1)).alias("gets"), F.coalesce(F.sum(F.when(F.col("_data"), F.col("block_size"))), F.lit(0)).alias("nbytes"))
         return planner.cost(need.crossJoin(unchanged), rate)
 
+    def space_warning(self, plan: DataFrame, free: int) -> bool:
+        """Whether what a plan may store leaves too little of `free` bytes."""
+        return bool(plan.select(planner.short_of_space(F.lit(free), F.col("nbytes")).alias("short")).first().short)
+
     def verify(self, snapshot: str, sample: int = 0) -> DataFrame:
         """byte_offset, status of all manifest blocks, or of a sample at even strides."""
         rows, data = self.table(snapshot, "manifest"), self.table(snapshot, "data")
@@ -154,6 +158,20 @@ class Engine:
         frames = payload.encode_frames(self.table(snapshot, "data"), level)
         return containers.export_container(frames, path, snapshot, g.volume_gib, g.block_size, g.logical_size, g.image_sha256)
 
+    def stream(self, snapshot: str, path: str, level: int = 3) -> dict:
+        """A container straight from the source: blocks are compressed where they are fetched, so raw payloads are never
+        stored; the frames are written once, hashed in order and put into one file. Not resumable."""
+        pages = self.listing(snapshot).persist()
+        try:
+            geometry = self._geometry(pages)
+            wanted = listing.with_offset(listing.checked_listing(pages), block_size=geometry["block_size"])
+            payload.encode_frames(self._fetched(wanted, snapshot), level).write.mode("overwrite").parquet(self.path(snapshot, "frames"))
+        finally:
+            pages.unpersist()
+        frames = self.table(snapshot, "frames").dropDuplicates(["idx"])
+        digest = payload.image_hash(payload.decode_frames(frames), geometry["logical_size"]).first().image_sha256
+        return containers.export_container(frames, path, snapshot, geometry["volume_gib"], geometry["block_size"], geometry["logical_size"], digest)
+
     def export_image(self, snapshot: str, path: str) -> None:
         containers.write_image(self.table(snapshot, "data"), path, self.table(snapshot, "geometry").first().logical_size)
 

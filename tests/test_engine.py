@@ -97,13 +97,21 @@ def test_ingest_sync_verify_export(spark, engine, tmp_path):
     assert rows == {i * SIZE: d for i, d in source.snapshots["b"].blocks.items() if any(d)}
     some = sorted(source.snapshots["b"].blocks)[20]
     for start, n in ((some * SIZE - 100, 300), (0, 9000), (some * SIZE + 5, 10), (GIB - 7, 7), (3, 0)):
-        want = bytes(n)
         want = bytes(engine.read_range("b", start, n))
         assert payload.read_range(path, start, n) == want and len(want) == n
     with pytest.raises(ValueError, match="bounds"):
         payload.read_range(path, GIB - 1, 2)
 
 
+def test_streamed_container_has_the_same_image(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "t"), NAME, partitions=3)
+    path = str(tmp_path / "a.szc")
+    engine.stream("a", path)
+    assert payload.verify_container(path)["image_sha256"] == image_hash(test_source().snapshots["a"])
+    plan = engine.plan("a")
+    assert engine.space_warning(plan, 40 * SIZE) and not engine.space_warning(plan, 50 * SIZE)
+
+
 def test_interrupted_ingest_goes_on(spark, tmp_path):
     engine = Engine(spark, str(tmp_path), NAME, partitions=2)
     whole = engine.ingest("a")
@@ -178,7 +186,7 @@ def test_fetch_faults():
     data = {3: b"d" * 8}
     make = lambda *errors: MemorySource({"s": Snapshot(1, data, 8)}, fail=failing(*errors))
     quiet = {"sleep": lambda s: None}
-    slow = resilience.SourceError("SlowDown")
+    slow = resilience.SourceError("ThrottlingException")
     hits = []
     source = make(slow, resilience.SourceError("InternalError"))
     assert resilience.fetch_block(source, "s", 3, "g0-s-i3", on_throttle=lambda: hits.append(1), **quiet) == data[3] and len(hits) == 1

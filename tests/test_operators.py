@@ -28,14 +28,16 @@ def test_formats(spark):
     assert column(spark, [0, 999, 1000, 81920, 1234], "long", scalars.human_count) == ["0", "999", "1,000", "81,920", "1,234"]
     assert column(spark, [0, 1023, 1024, 3 << 20, 5 << 30], "long", scalars.human_bytes) == ["0 B", "1023 B", "1.0 KiB", "3.0 MiB", "5.00 GiB"]
     assert column(spark, ["/dev/sda1", "/dev/", None, "a b/c"], "string", lambda c: scalars.device_name(c, F.lit(3))) == ["sda1", "volume3", "volume3", "a-b-c"]
-    assert column(spark, ["x.img", "x.img.szc", "d/x.img.zst"], "string", scalars.manifest_path) == ["x.manifest.json", "x.manifest.json", "d/x.manifest.json"]
+    assert column(spark, ["x.img", "x.bin", "d/x.img.zst"], "string", scalars.manifest_path) == ["x.manifest.json", "x.bin.manifest.json", "d/x.manifest.json"]
+    assert column(spark, [0.0, 3.6], "double", lambda c: scalars.egress_note(F.lit(40.0), F.lit(0.09), c)) == ["", "; egress 40.0 GB @ $0.090/GB = $3.60"]
     assert column(spark, [bytearray(), bytearray(4), bytearray(b"\0a")], "binary", scalars.is_zero) == [True, True, False]
     assert column(spark, [bytearray(b"abc")], "binary", scalars.block_checksum) == [b64(b"abc")]
 
 
 def test_errors_and_tokens(spark):
-    assert column(spark, ["SlowDown", "InternalError", "AccessDenied", "Other"], "string", scalars.error_class) == ["throttle", "server", "denied", "other"]
+    assert column(spark, ["Throttling", "SlowDown", "AccessDenied", "Other"], "string", scalars.error_class) == ["throttle", "server", "denied", "other"]
     assert column(spark, ["ECONNRESET", "ChecksumMismatch", "AccessDenied", None], "string", lambda c: scalars.is_retryable(c, F.lit(None).cast("string"))) == [True, True, False, False]
+    assert column(spark, [None, "Other"], "string", lambda c: scalars.is_retryable(c, F.lit("unexpected EOF"))) == [True, False]
     now = datetime.datetime(2024, 1, 1, 12)
     expiry = [None, now + datetime.timedelta(minutes=2), now + datetime.timedelta(seconds=119)]
     assert column(spark, expiry, "timestamp_ntz", lambda c: scalars.token_fresh(c, F.lit(now).cast("timestamp_ntz"))) == [True, True, False]
@@ -117,6 +119,7 @@ VALID = {"version": 1, "kind": "snapshot", "snapshotId": "snap-1", "volumeSizeGi
     ("change", "rule"),
     [({}, None), ({"snapshotId": ""}, "id"), ({"volumeSizeGiB": 0}, "volume size"), ({"blockSize": 0}, "block size"), ({"logicalSize": 5}, "logical size"), ({"blockCount": 3}, "block count"), ({"version": 9}, "version"),
      ({"blocks": [{"index": 1, "offset": 0, "length": 1, "sha256": ""}] * 2}, "offset"), ({"blocks": [{"index": 0, "offset": 0, "length": 524289, "sha256": ""}] * 2}, "length"),
+     ({"blocks": [{"index": 0, "offset": 0, "length": 0, "sha256": ""}] * 2}, "length"), ({"blocks": [{"index": 4096, "offset": 2 << 30, "length": 9, "sha256": ""}] * 2}, "bounds"),
      ({"kind": "ami", "volumes": []}, "volumes"), ({"kind": "ami", "volumes": [{"device": "a"}], "blockSize": 0}, None)],
 )
 def test_manifest_rules(spark, tmp_path, change, rule):
@@ -208,7 +211,7 @@ def test_costs(spark):
 def test_readiness(spark):
     table = lambda *rows: spark.createDataFrame(rows, "snapshot_id string, state string, message string")
     ok, wait, bad = ("a", "completed", ""), ("b", "pending", None), ("c", "error", "lost")
-    assert planner.readiness(table(ok, wait, bad)).first().asDict() == {"ready": False, "pending": "b", "failed": "c (lost)"}
+    assert planner.readiness(table(ok, wait, bad)).first().asDict() == {"ready": False, "pending": "b", "failed": "c: error (lost)"}
     assert readiness.wait_ready(lambda: table(ok))
     polls = iter([table(wait), table(wait), table(ok)])
     slept = []
@@ -227,6 +230,15 @@ def test_artifact_preference(spark):
     assert {r.image: r.artifact for r in planner.preferred_artifact(volumes, files).collect()} == {"a.img": "a.img.zst", "b.img": "b.img.szc", "c.img": None}
 
 
+def test_image_volumes(spark):
+    images = spark.createDataFrame([("ami-1", "/dev/xvda", [("/dev/xvda", "snap-1"), ("/dev/sdb", None), ("/dev/mapper/x y", "snap-2"), (None, "snap-3"), ("eph", "")])], listing.IMAGES)
+    volumes = listing.image_volumes(images)
+    assert [(r.ordinal, r.root, r.snapshot_id, r.file) for r in volumes.orderBy("ordinal").collect()] == [(0, True, "snap-1", "xvda.img"), (2, False, "snap-2", "mapper-x-y.img"), (3, False, "snap-3", "volume3.img")]
+    assert [r.snapshot_id for r in listing.image_volumes(images, root_only=True).collect()] == ["snap-1"]
+    results = spark.createDataFrame([("snap-2", 5, "h")], "snapshot_id string, allocated_bytes long, image_sha256 string")
+    assert {r.snapshot_id: r.allocated_bytes for r in listing.group_report(volumes, results).collect()} == {"snap-1": None, "snap-2": 5, "snap-3": None}
+
+
 def test_limiter():
     clock = [0.0]
     limiter = resilience.Limiter(8, now=lambda: clock[0])
