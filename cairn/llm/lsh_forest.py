@@ -3,16 +3,15 @@
 Every text has TREES labels of DEPTH minimum hashes each; the labels of a tree, cut to a prefix, are the nodes of its
 sorted prefix trie. Texts that share a trie node are candidates. Matching begins with whole labels and shortens the
 prefix until the trees together find pairs at the threshold with the target recall: 1 - (1 - t^p)^TREES >= RECALL gives
-the shortest prefix p. Each trie node links its members to its least member, which is one row for each member however
-large the node is. Candidates are verified by the exact Jaccard similarity of their sets of word shingles.
+the shortest prefix p. Its nodes hold the members of all deeper ones, so they alone are searched.
 
-Nodes whose members still belong to different classes are searched once more: the members outside the node's largest
-class are compared with all members of the others, in blocks of bounded size that give at most one link for each text
-and class. So no class is lost to the choice of the least member, and members of one class, however many, are never
-compared with each other.
+Each pair of different texts that share a node is verified once, by the exact Jaccard similarity of their sets of word
+shingles, in the first node that they share. A node's members are dealt over blocks, and each two blocks meet in a group
+of bounded size, which gives a row for each text: how many it is linked with, and the least one that it reaches there.
+So every link is counted and joins its classes, and pairs are never rows.
 
 Result: a row for each document: class_id (the least doc_id that it is linked with, directly or by others), copy_of (the
-least doc_id of the same text), links (the verified links of that text in the forest's link table, to other texts).
+least doc_id of the same text), links (how many different texts that share a trie node with its text reach the threshold).
 
 Cases: null and empty texts, and those without words, are linked with equal texts only (null with null); texts of fewer
 than five words have one shingle, all their words; repeated rows are copies; rows that share a doc_id count as one
@@ -28,8 +27,8 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_map, components, discard, documents, slices, stored
-from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, jaccard, shingles, word_hashes
+from cairn.llm.common import arrow_map, components, discard, documents, stored
+from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
 TREES, DEPTH, RECALL, BLOCK = 16, 8, 0.9995, 256
 
@@ -63,11 +62,10 @@ def trie_node(tree, prefix, depth: int):
     return F.xxhash64(tree, prefix, F.substr(F.col("signature"), tree * (4 * depth) + 1, prefix * 4))
 
 
-def trie_nodes(texts: DataFrame, trees: int, depth: int, prefixes: list[int]) -> DataFrame:
-    """node (of a trie, hashed), level (its prefix), id: a row for each tree and prefix of each text."""
-    rows = texts.where("signature IS NOT NULL").select("id", F.col("signature"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    levels = F.explode(F.array(*(F.struct(F.lit(p).alias("level"), trie_node(F.col("tree"), F.lit(p), depth).alias("node")) for p in prefixes)))
-    return rows.select("id", levels.alias("x")).select("x.node", "x.level", "id")
+def trie_nodes(texts: DataFrame, trees: int, depth: int, prefix: int) -> DataFrame:
+    """id, nodes (hashed, one for each tree) of the texts with words."""
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: trie_node(t, F.lit(prefix), depth))
+    return texts.where("signature IS NOT NULL").select("id", nodes.alias("nodes"))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,102 +73,78 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def run(batches):
-        last, last_set = None, None
-        for batch in slices(batches):
-            a, b = [], []
-            for x, y, text_x, text_y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if y != last:  # a hot partner comes many times in a row
-                    last, last_set = y, np.unique(shingles(word_hashes(text_y), words))
-                if jaccard(np.unique(shingles(word_hashes(text_x), words)), last_set) >= threshold - 1e-12:
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def links(docs: DataFrame, sketched: DataFrame, threshold: float, trees: int, depth: int, recall: float, words: int) -> DataFrame:
-    """(a, b), a > b: verified links between texts, each known by the least doc_id that has it."""
+def links(docs: DataFrame, sketched: DataFrame, threshold: float, trees: int, depth: int, recall: float, words: int, block: int = BLOCK) -> DataFrame:
+    """id, least, n: for each group of two blocks of a trie node, the texts that have links there, each known by the
+    least doc_id that has it; least: the least text that these links reach; n: how many there are."""
     texts = sketched.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("id"), "signature")).alias("x")).select("x.*")
-    shortest = shortest_prefix(threshold, trees, depth, recall)
-    prefixes = sorted({depth, (depth + shortest + 1) // 2, shortest}, reverse=True)
-    rows = trie_nodes(texts, trees, depth, prefixes)
-    shared = rows.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("node", "least")
+    tries = trie_nodes(texts, trees, depth, shortest_prefix(threshold, trees, depth, recall))
+    rows = tries.select("id", F.explode("nodes").alias("node"))
+    shared = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(rows.join(shared, "node"), "trie")
-    pairs = stored(members.where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
     some = members.select("id").distinct()
-    bodies = stored(texts_of(docs, some), "texts")
-    found = stored(verified(pairs, bodies, threshold, words), "links")
-
-    # trie nodes of the shortest prefix that still hold several classes
-    classes = stored(components(found), "classes")
-    shallow = members.where(F.col("level") == shortest).select("node", "id")
-    named = shallow.join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
-    named = stored(named.select("node", "id", F.coalesce("root", "id").alias("class")), "named")
-    sizes = named.groupBy("node", "class").count()
-    mixed = sizes.groupBy("node").agg(F.max(F.struct("count", "class")).alias("m"), F.sum("count").alias("members"), F.count("*").alias("n"))
-    mixed = mixed.where("n > 1").select("node", F.col("m.class").alias("main"), "members", (F.col("members") - F.col("m.count")).alias("outside"))
-    about = texts.select("id", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: trie_node(t, F.lit(shortest), depth)).alias("nodes"))
-    about = about.join(bodies, "id")
-    out = stored(found.union(crossing_links(named.join(mixed, "node"), about, threshold, words)).distinct(), "links")
-    discard(members, pairs, bodies, found, classes, named)
+    bodies = stored(texts_of(docs, some).join(tries, "id"), "texts")
+    dealt = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("node", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("node", "id", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
+    meet = lambda key, table: meeting(key, table, threshold, words)
+    out = stored(dealt.join(bodies, "id").groupBy("node", "x", "y").applyInArrow(meet, "id long, least long, n long"), "links")
+    discard(members, bodies)
+    return out
+
+
+def meeting(key, table: pa.Table, threshold: float, words: int) -> pa.Table:
+    """The links between two blocks of a node (or within one), of pairs that share no node of a tree before."""
+    node, x, y = (k.as_py() for k in key)
+    ids, own = table["id"].to_numpy(), table["own"].to_numpy()
+    nodes = table["nodes"].combine_chunks().values.to_numpy().reshape(len(ids), -1)
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    todo = ids[left][:, None] < ids[right] if x == y else np.ones((len(left), len(right)), bool)
+    for tree in range(int((nodes[0] == node).argmax())):
+        todo &= nodes[left, tree][:, None] != nodes[right, tree]
+    asked = np.zeros(len(ids), bool)
+    asked[left[todo.any(1)]] = asked[right[todo.any(0)]] = True
+    if not asked.any():
+        return linked(ids, np.zeros((len(ids), len(ids)), bool))
+    sets = [np.unique(shingles(word_hashes(t), words)) if some else np.zeros(0, np.uint64) for t, some in zip(table["text"].to_pylist(), asked, strict=True)]
+    sizes = np.array([len(s) for s in sets])
+    both = in_common(sets, left, right)
+    alike = both / np.maximum(sizes[left][:, None] + sizes[right] - both, 1)
+    links = np.zeros((len(ids), len(ids)), bool)
+    links[np.ix_(left, right)] = todo & (alike >= threshold - 1e-12)
+    return linked(ids, links | links.T)
+
+
+def in_common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 1 << 15) -> np.ndarray:
+    """How many values each set of left has in common with each of right, by bits for the values of several sets."""
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = counts > 1
+    column, row = (np.cumsum(several) - 1)[column[several[column]]], row[several[column]]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(several.sum()), width):
+        now = (column >= at) & (column < at + width)
+        bits = np.zeros((len(sets), -(-min(width, int(several.sum()) - at) // 64) * 64), bool)
+        bits[row[now], column[now] - at] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        there = packed[right]
+        for i, k in enumerate(left):
+            if packed[k].any():
+                out[i] += np.bitwise_count(packed[k] & there).sum(1, dtype=np.int64)
     return out
 
 
-def crossing_links(named: DataFrame, about: DataFrame, threshold: float, words: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): for each text outside the main class of a trie node and each other class there, the likest member of that
-    class that reaches the threshold, for each block of members.
-
-    A node's members and its outsiders are dealt over blocks, and each block of one meets each block of the other in a
-    group of bounded size. A pair that shares several nodes is looked at in the first one alone.
-    """
-    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    rows = named.withColumn("across", F.ceil(F.col("members") / block).cast("int")).withColumn("down", F.ceil(F.col("outside") / block).cast("int"))
-    rows = rows.join(about, "id").select("node", "id", "class", "main", "across", "down", "nodes", "text")
-    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["node", "id", "class", "main", "nodes", "text"]
-    inside = rows.select(*columns, F.lit(False).alias("asks"), place(F.col("across")).alias("x"), to(F.col("down")).alias("y"))
-    outside = rows.where("class <> main").select(*columns, F.lit(True).alias("asks"), to(F.col("across")).alias("x"), place(F.col("down")).alias("y"))
-
-    def meet(key, table):
-        a, b = [], []
-        asks = table["asks"].to_numpy()
-        held, asking = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
-        if held.num_rows and asking.num_rows:
-            node, main = key[0].as_py(), held["main"][0].as_py()
-            ids, classes = held["id"].to_numpy(), held["class"].to_numpy()
-            nodes = np.array(held["nodes"].to_pylist(), np.int64)
-            first_seen = held["text"].to_pylist()
-            sets = [np.unique(shingles(word_hashes(t), words)) for t in first_seen]
-            sizes = np.array([len(x) for x in sets])
-            for i, own_class, own_nodes, text in zip(*(asking[c].to_pylist() for c in ("id", "class", "nodes", "text")), strict=True):
-                own = np.unique(shingles(word_hashes(text), words))
-                small, large = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
-                same = nodes == np.array(own_nodes, np.int64)
-                here = nodes[np.arange(len(ids)), same.argmax(1)] == node
-                todo = np.flatnonzero(here & (classes != own_class) & ((classes == main) | (ids < i)) & (small >= threshold * large - 1e-9))
-                if not len(todo):
-                    continue
-                pool = np.concatenate([sets[k] for k in todo])
-                at = np.minimum(np.searchsorted(own, pool), len(own) - 1)
-                both = np.add.reduceat((own[at] == pool).astype(np.int64), np.cumsum(sizes[todo]) - sizes[todo])
-                alike = both / (sizes[todo] + len(own) - both)
-                best: dict[int, tuple] = {}
-                for k, value in zip(todo, alike.tolist(), strict=True):
-                    if value >= threshold - 1e-12:
-                        best[classes[k]] = max(best.get(classes[k], (0.0, 0)), (value, -ids[k]))
-                for _, other in best.values():
-                    a.append(max(i, -other))
-                    b.append(min(i, -other))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return inside.union(outside).groupBy("node", "x", "y").applyInArrow(meet, "a long, b long")
+def linked(ids: np.ndarray, links: np.ndarray) -> pa.Table:
+    """id, least, n of the texts with links (a symmetric table)."""
+    some = np.flatnonzero(links.any(1))
+    ids, links = ids[some], links[np.ix_(some, some)]
+    counts, least = links.sum(1), ids.copy()
+    while len(ids):
+        after = np.minimum(least, np.where(links, least, np.iinfo(np.int64).max).min(1))
+        if (after == least).all():
+            break
+        least = after
+    return pa.table({"id": pa.array(ids, pa.int64()), "least": pa.array(least, pa.int64()), "n": pa.array(counts, pa.int64())})
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, words: int = WORDS) -> DataFrame:
@@ -178,8 +152,8 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = T
     sketched = stored(sketches(docs, trees, depth, words), "sketches")
     known = sketched.where("doc_id IS NOT NULL")
     edges = links(docs, known, threshold, trees, depth, recall, words)
-    classes = components(edges).select(F.col("node").alias("copy_of"), "root")
-    degree = edges.select("a").union(edges.select(F.col("b"))).groupBy("a").count().select(F.col("a").alias("copy_of"), "count")
+    classes = components(edges.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("copy_of"), "root")
+    degree = edges.groupBy("id").agg(F.sum("n").alias("count")).select(F.col("id").alias("copy_of"), "count")
     least = known.groupBy("key").agg(F.min("doc_id").alias("copy_of"))
     about = least.join(classes, "copy_of", "left").join(degree, "copy_of", "left")
     about = about.select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), F.coalesce("count", F.lit(0)).alias("links"))

@@ -73,6 +73,30 @@ def test_query_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in lsh_forest.query(spark, data).collect()} == brute_classes(texts)
 
 
+def brute_links(texts):
+    """Of texts by id: the number of different texts that are alike."""
+    sets = {t: shingle_set(t) for t in set(texts.values())}
+    alike = lambda a, b: sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    count = {t: sum(1 for u in sets if u != t and alike(t, u)) for t in sets}
+    return {i: count[t] for i, t in texts.items()}
+
+
+def test_links_count_every_similar_text(spark, docs):
+    texts = made_texts(5)
+    rng = random.Random(6)
+    base = [str(rng.random()) for _ in range(100)]
+    texts += [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in range(40)]
+    want = brute_links(dict(enumerate(texts)))
+    assert max(want.values()) == 39
+    assert {r.doc_id: r.links for r in lsh_forest.join_documents(docs(texts)).collect()} == want
+    sketched = lsh_forest.sketches(docs(texts), 16, 8, 5)
+    small = lsh_forest.links(docs(texts), sketched, 0.8, 16, 8, 0.9995, 5, block=7).groupBy("id").sum("n").collect()
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    assert {r["id"]: r["sum(n)"] for r in small} == {i: n for i, n in want.items() if n and first[texts[i]] == i}
+
+
 def test_odd_rows(spark, docs):
     assert lsh_forest.join_documents(docs(["a"]).limit(0)).count() == 0
     table = docs(["a b", "c d"]).unionByName(docs(["a b"])).unionByName(docs(["z"]).selectExpr("CAST(NULL AS long) AS doc_id", "text", "lang", "source", "n_chars", "key"))
