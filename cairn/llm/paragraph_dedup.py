@@ -35,7 +35,7 @@ from cairn.llm.lsh_forest import texts_of
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
 LEAST, WINDOW, PARAGRAPH = 50, 24, 26
-BANDS, ROWS = 2, 3
+BANDS, ROWS = 3, 2
 WORD = re.compile(r"[^\t-\r ]+")
 
 

@@ -37,6 +37,22 @@ def test_every_long_passage_shares_a_band():
         assert np.intersect1d(pd.band_keys(a, minhash), pd.band_keys(b, minhash)).size
 
 
+def test_near_passages_share_a_band():
+    from cairn.llm.shingles import MinHash, shingles
+
+    minhash, found, repeated, own = MinHash(pd.BANDS * pd.ROWS, 7), 0, 0, random.Random(9)
+    some = lambda n: ["".join(own.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    for _ in range(600):
+        passage = some(55)
+        edited = list(passage)
+        edited[own.randrange(55)] = "changed"
+        a, b = (word_hashes(" ".join(some(own.randrange(80)) + p + some(own.randrange(80)))) for p in (passage, edited))
+        if pd.shared_runs(b, np.unique(shingles(a)), 50, 0.8):
+            repeated += 1
+            found += bool(np.intersect1d(pd.band_keys(a, minhash), pd.band_keys(b, minhash)).size)
+    assert repeated > 500 and found >= 0.97 * repeated, (found, repeated)
+
+
 def test_repeats_are_removed_and_clean_documents_stay(spark, docs):
     passages = [words(n) for n in (50, 60, 90, 200)]
     edited = list(passages[3])
