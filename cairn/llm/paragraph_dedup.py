@@ -5,8 +5,10 @@ shingle has the least hash among WINDOW neighbours, and runs for PARAGRAPH words
 wherever they stand, and every passage of WINDOW + PARAGRAPH words or more holds a whole paragraph. A paragraph's
 minimum hashes make BANDS bands of ROWS values; paragraphs of different documents that share a band collide.
 
-Each band links its documents to the least of them: one row for each document, however many share it. Of every
-linked pair, the runs of words whose shingles the lower document has are taken, across small edits as long as their Jaccard
+Each band links its documents to the least of them: one row for each document, however many share it. Where a document's
+paragraph is in no repeat that this finds (the least may hold the paragraph and not the passage), the words around it are
+compared with those of all lower documents of the band, in blocks of bounded size, each of which links it to the least
+document that has a run there. Of every linked pair, the runs of words whose shingles the lower document has are taken, across small edits as long as their Jaccard
 similarity stays at the threshold; runs of at least LEAST words are repeats. They are removed from the document with
 the higher doc_id, so of every repeated passage the one in the lowest document stays. Removals are clustered: class_id is the
 least doc_id of the connected component of documents that share passages.
@@ -31,11 +33,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import components, discard, documents, slices, stored
-from cairn.llm.lsh_forest import texts_of
+from cairn.llm.lsh_forest import in_common, texts_of
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
 LEAST, WINDOW, PARAGRAPH = 50, 24, 26
 BANDS, ROWS = 3, 2
+BLOCK = 256
 WORD = re.compile(r"[^\t-\r ]+")
 
 
@@ -57,16 +60,17 @@ def starts(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), window, np.maximum) == hashes)
 
 
-def band_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragraph: int = PARAGRAPH, rows: int = ROWS) -> np.ndarray:
-    """The distinct band keys of a document's paragraphs."""
+def paragraph_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragraph: int = PARAGRAPH, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Where a document's paragraphs start, and their band keys (a row for each band)."""
+    none = np.zeros(0, np.int64), np.zeros((minhash.k // rows, 0), np.int64)
     if len(words) < max(window + WORDS - 1, paragraph):
-        return np.zeros(0, np.int64)
+        return none
     hashes = shingles(words)
     at = starts(hashes, window)
     each = paragraph - WORDS + 1
     at = at[at + each <= len(hashes)]
     if not len(at):
-        return np.zeros(0, np.int64)
+        return none
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     least = sliding(short * minhash.a[:, None] + minhash.b[:, None], each)[:, at].astype(np.uint64)
     bands = least.reshape(minhash.k // rows, rows, len(at))
@@ -74,7 +78,12 @@ def band_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragra
     for row in range(rows):
         keys = (keys ^ bands[:, row]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return np.unique(keys).view(np.int64)
+    return at, keys.view(np.int64)
+
+
+def band_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragraph: int = PARAGRAPH, rows: int = ROWS) -> np.ndarray:
+    """The distinct band keys of a document's paragraphs."""
+    return np.unique(paragraph_keys(words, minhash, window, paragraph, rows)[1])
 
 
 def bands(docs: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -139,6 +148,81 @@ def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: floa
     return both.select("id", "other", "text", "text_other").mapInArrow(run, "id long, other long, start long, end long, n long")
 
 
+def paragraphs(about: DataFrame, least: int, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """key, id, asks, around: a row for each place of a document's keys; asks: no span covers the paragraph; around: the
+    hashes of its words and of those that a run of `least` words may have before and after it.
+
+    about: id, text, keys, spans (characters).
+    """
+    margin = least - PARAGRAPH
+
+    def run(batches):
+        minhash = MinHash(count * rows, 7)
+        for batch in slices(batches):
+            out: dict = {n: [] for n in ("key", "id", "asks", "around")}
+            for i, text, keys, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "keys", "spans")), strict=True):
+                words, seen = word_hashes(text), set()
+                at, found = paragraph_keys(words, minhash, rows=rows)
+                wanted, places = np.isin(found, np.array(keys, np.int64)), [m.span() for m in WORD.finditer(text)]
+                for k in np.flatnonzero(wanted.any(0)).tolist():
+                    start, end = places[at[k]][0], places[at[k] + PARAGRAPH - 1][1]
+                    asks = not any(s["start"] <= start and end <= s["end"] for s in spans or [])
+                    around = words[max(0, at[k] - margin) : at[k] + PARAGRAPH + margin].tobytes()
+                    for key in found[wanted[:, k], k].tolist():
+                        if (key, asks, around) not in seen:
+                            seen.add((key, asks, around))
+                            for n, v in zip(out, (key, i, asks, around), strict=True):
+                                out[n].append(v)
+            kinds = {"key": pa.int64(), "id": pa.int64(), "asks": pa.bool_(), "around": pa.binary()}
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, kinds[n]) for n, v in out.items()})
+
+    return about.select("id", "text", "keys", "spans").mapInArrow(run, "key long, id long, asks boolean, around binary")
+
+
+def more_pairs(members: DataFrame, bodies: DataFrame, spans: DataFrame, least: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, other): for each paragraph that no span covers, the least of the lower documents of its key, for each block of
+    them, that has a run around it. The least document of the key, which all were compared with, is not in members.
+
+    The documents of a key and those that ask are dealt over blocks, and each block of one meets each block of the other
+    in a group of bounded size.
+    """
+    covered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    about = lambda rows: rows.groupBy("id").agg(F.collect_list("key").alias("keys")).join(bodies, "id").join(covered, "id", "left")
+    places = paragraphs(about(members.select("id", "key")), least).select("key", "id", "asks")
+    open_keys = places.groupBy("key").agg(F.min("id").alias("low"), F.max(F.when(F.col("asks"), F.col("id"))).alias("high")).where("low < high")
+    rows = stored(paragraphs(about(members.join(open_keys.select("key"), "key", "left_semi").select("id", "key")), least), "around")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("across"), F.ceil(F.count_if("asks") / block).cast("int").alias("down"))
+    dealt = rows.join(sizes, "key")
+    place = lambda n: F.pmod(F.xxhash64("id", "around"), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = dealt.select("key", "id", F.lit(False).alias("asking"), "around", place("across").alias("x"), to("down").alias("y"))
+    asking = dealt.where("asks").select("key", "id", F.lit(True).alias("asking"), "around", to("across").alias("x"), place("down").alias("y"))
+    # of a run of `least` words so many shingles are shared at the threshold
+    shared = int(2 * threshold / (1 + threshold) * (least - WORDS + 1))
+
+    def meet(key, table):
+        ids, asks = table["id"].to_numpy(), table["asking"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        held, asking = order[~asks[order]], order[asks[order]]
+        pairs = set()
+        if len(held) and len(asking) and ids[held[0]] < ids[asking[-1]]:
+            words = [np.frombuffer(x, np.uint64) for x in table["around"].to_pylist()]
+            own = [shingles(w) for w in words]
+            sets = [np.unique(x) for x in own]
+            both = in_common(sets, asking, held)
+            for i, row in zip(asking.tolist(), both, strict=True):
+                enough = row >= shared - (len(own[i]) - len(sets[i]))
+                for j in held[enough & (ids[held] < ids[i])].tolist():
+                    if shared_runs(words[i], sets[j], least, threshold):
+                        pairs.add((int(ids[i]), int(ids[j])))
+                        break
+        return pa.table({"id": pa.array([i for i, _ in pairs], pa.int64()), "other": pa.array([j for _, j in pairs], pa.int64())})
+
+    found = stored(held.union(asking).groupBy("key", "x", "y").applyInArrow(meet, "id long, other long").distinct(), "more")
+    discard(rows)
+    return found
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     """text without the spans, and how many words went."""
     kept, at, words = [], 0, 0
@@ -162,10 +246,13 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
         raise ValueError(f"passages below {WINDOW + PARAGRAPH} words need not hold a paragraph")
     shared = bands(docs).groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other < most").select("key", "other")
     # the shared keys are the smaller side: hashing them spares sorting all paragraphs, and Spark splits hot keys
-    pairs = stored(bands(docs).join(shared.hint("SHUFFLE_HASH"), "key").where("id > other").select("id", "other").distinct(), "pairs")
+    members = stored(bands(docs).join(shared.hint("SHUFFLE_HASH"), "key").where("id > other").select("key", "id", "other"), "members")
+    pairs = stored(members.select("id", "other").distinct(), "pairs")
     bodies = stored(texts_of(docs, pairs.select("id").union(pairs.select(F.col("other"))).distinct()), "texts")
-    spans = stored(found_spans(pairs, bodies, least, threshold), "spans")
-    discard(pairs)
+    first = stored(found_spans(pairs, bodies, least, threshold), "spans")
+    more = more_pairs(members, bodies, first, least, threshold)
+    spans = stored(first.union(found_spans(more.join(pairs, ["id", "other"], "left_anti"), bodies, least, threshold)), "spans")
+    discard(members, pairs, first, more)
     linked = spans.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     degree = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
     # a document's spans are no more than its length allows for each document that holds one of its paragraphs

@@ -86,6 +86,17 @@ def test_repeats_are_removed_and_clean_documents_stay(spark, docs):
     assert pd.without_repeats(docs(texts)).schema == docs(texts).schema
 
 
+def test_a_fragment_in_a_lower_document_hides_no_passage(spark, docs):
+    own = random.Random(11)
+    some = lambda n: ["".join(own.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passages, texts = [some(60) for _ in range(40)], []
+    for p in passages:  # 48 of 60 words in the lowest document, the passage in two more
+        texts += [" ".join(some(10) + part + some(10)) for part in (p[6:54], p, p)]
+    got = {r.doc_id: r for r in pd.repeats(docs(texts)).collect()}
+    for k, p in enumerate(passages):
+        assert 3 * k not in got and got[3 * k + 1].removed_words == 0 and not has(got[3 * k + 2].text, p)
+
+
 def test_passages_within_one_document_and_short_ones_stay(spark, docs):
     p, q = words(60), words(45)
     texts = [" ".join(p + words(3) + p), " ".join(q + words(30)), " ".join(words(30) + q), "ha " * 500, "ha " * 400]
