@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,12 +30,14 @@ def id_crc(doc_id: str = "doc_id"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from the session; for sessions without one (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares: the session's setting, or the one that the context was given. A session that runs
+    on one machine and names none gets a temporary folder of its own; a cluster that names none is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
-        found = "/tmp/checkpoints/cairn"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
@@ -65,21 +68,22 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     Alternating large-star and small-star: each round makes every node point nearer to the least node that it
     reaches, in a number of rounds that grows with the logarithm of the longest chain. Rows never outnumber the links,
-    so a hot node only gets rows as links that it has; the minimum per node is pre-aggregated before the shuffle.
+    so a hot node only gets rows as links that it has; the minimum per node is pre-aggregated before the shuffle. Minima are
+    stored before they are joined: Spark splits a hot partition only where both sides come straight from a shuffle.
     """
     edges = stored(links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), name)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         after = stored(small.union(down.select("a", F.col("m").alias("b"))).distinct(), name)
         # ended: a set of stars (each node has one parent, and no parent has a parent)
         parents = after.select(F.col("b").alias("a")).distinct()
         done = after.groupBy("a").count().where("count > 1").isEmpty() and after.join(parents, "a", "left_semi").isEmpty()
-        discard(edges)
+        discard(edges, least, large, down)
         edges = after
         if done:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

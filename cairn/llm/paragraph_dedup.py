@@ -5,11 +5,11 @@ shingle has the least hash among WINDOW neighbours, and runs for PARAGRAPH words
 wherever they stand, and every passage of WINDOW + PARAGRAPH words or more holds a whole paragraph. A paragraph's
 minimum hashes make BANDS bands of ROWS values; paragraphs of different documents that share a band collide.
 
-Each band links its documents to the least of them: one row for each document, however many share it. Where a document's
-paragraph is in no repeat that this finds (the least may hold the paragraph and not the passage), the words around it are
-compared with those of all lower documents of the band, in blocks of bounded size, each of which links it to the least
-document that has a run there. Of every linked pair, the runs of words whose shingles the lower document has are taken, across small edits as long as their Jaccard
-similarity stays at the threshold; runs of at least LEAST words are repeats. They are removed from the document with
+Each band links its documents to the least of them: one row for each document, however many share it. The least may hold
+the paragraph and not the passage. So where a paragraph is in no repeat that this finds, the band's documents are linked once
+more, by the bands of all passages of LEAST words around it: equal passages have equal bands, whatever lower documents
+hold of them. Of every linked pair, the runs of words whose shingles the lower document has are taken, across small edits as
+long as their Jaccard similarity stays at the threshold; runs of at least LEAST words are repeats. They are removed from the document with
 the higher doc_id, so of every repeated passage the one in the lowest document stays. Removals are clustered: class_id is the
 least doc_id of the connected component of documents that share passages.
 
@@ -17,7 +17,8 @@ Result of `repeats`: a row for each document that shares a passage: class_id, li
 have theirs here), removed_words, spans (start and end in characters, the document that keeps the passage), text (without
 them). Documents without repeats have no row.
 
-Cases: null and empty texts, and those of fewer than LEAST words, have no repeats; a copy loses all its words;
+Cases: null and empty texts, and those of fewer than LEAST words, have no repeats; a copy loses all its words; a run of few
+different shingles (a line again and again) is a repeat only if the other document has the same words in a row;
 repeats within one document stay; rows that share a doc_id count as one document; rows with a null doc_id stay as they
 are; ties go to the lower doc_id; an empty table gives an empty table; other columns are not read by `repeats` and kept by
 `without_repeats`.
@@ -33,12 +34,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import components, discard, documents, slices, stored
-from cairn.llm.lsh_forest import in_common, texts_of
+from cairn.llm.lsh_forest import texts_of
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
 LEAST, WINDOW, PARAGRAPH = 50, 24, 26
 BANDS, ROWS = 3, 2
-BLOCK = 256
 WORD = re.compile(r"[^\t-\r ]+")
 
 
@@ -71,14 +71,19 @@ def paragraph_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, pa
     at = at[at + each <= len(hashes)]
     if not len(at):
         return none
+    return at, window_keys(hashes, each, minhash, rows)[:, at]
+
+
+def window_keys(hashes: np.ndarray, each: int, minhash: MinHash, rows: int) -> np.ndarray:
+    """The band keys (a row for each band) of the windows of `each` shingles, by where they start."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = sliding(short * minhash.a[:, None] + minhash.b[:, None], each)[:, at].astype(np.uint64)
-    bands = least.reshape(minhash.k // rows, rows, len(at))
-    keys = np.repeat(np.arange(1, len(bands) + 1, dtype=np.uint64)[:, None], len(at), 1)
+    least = sliding(short * minhash.a[:, None] + minhash.b[:, None], each).astype(np.uint64)
+    bands = least.reshape(minhash.k // rows, rows, -1)
+    keys = np.repeat(np.arange(1, len(bands) + 1, dtype=np.uint64)[:, None], bands.shape[2], 1)
     for row in range(rows):
         keys = (keys ^ bands[:, row]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return at, keys.view(np.int64)
+    return keys.view(np.int64)
 
 
 def band_keys(words: np.ndarray, minhash: MinHash, window: int = WINDOW, paragraph: int = PARAGRAPH, rows: int = ROWS) -> np.ndarray:
@@ -103,14 +108,22 @@ def bands(docs: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, id long")
 
 
-def shared_runs(words: np.ndarray, other: np.ndarray, least: int, threshold: float) -> list[tuple[int, int]]:
+def in_a_row(words: np.ndarray, other: np.ndarray) -> bool:
+    """Whether other has the words in a row."""
+    raw, part, at = other.tobytes(), words.tobytes(), -1
+    while (at := raw.find(part, at + 1)) % 8 and at >= 0:
+        pass
+    return at >= 0
+
+
+def shared_runs(words: np.ndarray, other: np.ndarray, least: int, threshold: float, other_words: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Runs of words (start, end) whose shingles are in `other` (sorted shingles), at least `least` words long.
 
     Neighbouring runs join over a gap of up to two edited words while the whole stays at the threshold: with m of n
     shingles shared and as many in the other text, Jaccard is m / (2 n - m). A run must have enough different
-    shingles to be a passage: few make a run of one repeated word look like any other such run.
+    shingles to be a passage, as few make a run of one repeated word look like any other such run, or stand as it is in other_words.
     """
-    if len(words) < least or len(other) < least // 2:
+    if len(words) < least or not len(other):
         return []
     own = shingles(words)
     hit = other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
@@ -124,7 +137,8 @@ def shared_runs(words: np.ndarray, other: np.ndarray, least: int, threshold: flo
                 last[1], last[2] = end, m
                 continue
         joined.append([start, end, end - start])
-    return [(a, b + WORDS - 1) for a, b, _ in joined if b - a + WORDS - 1 >= least and len(np.unique(own[a:b])) >= least // 2]
+    long = [(a, b + WORDS - 1, len(np.unique(own[a:b])) >= least // 2) for a, b, _ in joined if b - a + WORDS - 1 >= least]
+    return [(a, b) for a, b, various in long if various or (other_words is not None and in_a_row(words[a:b], other_words))]
 
 
 def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: float) -> DataFrame:
@@ -132,13 +146,14 @@ def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: floa
     both = pairs.join(bodies.select("id", "text"), "id").join(bodies.select(F.col("id").alias("other"), F.col("text").alias("text_other")), "other")
 
     def run(batches):
-        last, last_set = None, None
+        last, last_set, last_words = None, None, None
         for batch in slices(batches):
             out: dict = {n: [] for n in ("id", "other", "start", "end", "n")}
             for i, j, text, text_other in zip(*(batch.column(c).to_pylist() for c in ("id", "other", "text", "text_other")), strict=True):
                 if j != last:  # a document that holds what many repeat comes many times in a row
-                    last, last_set = j, np.unique(shingles(word_hashes(text_other)))
-                if runs := shared_runs(word_hashes(text), last_set, least, threshold):
+                    last, last_words = j, word_hashes(text_other)
+                    last_set = np.unique(shingles(last_words))
+                if runs := shared_runs(word_hashes(text), last_set, least, threshold, last_words):
                     places = [m.span() for m in WORD.finditer(text)]
                     for a, b in runs:
                         for n, v in zip(out, (i, j, places[a][0], places[b - 1][1], b - a), strict=True):
@@ -148,77 +163,47 @@ def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: floa
     return both.select("id", "other", "text", "text_other").mapInArrow(run, "id long, other long, start long, end long, n long")
 
 
-def paragraphs(about: DataFrame, least: int, count: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """key, id, asks, around: a row for each place of a document's keys; asks: no span covers the paragraph; around: the
-    hashes of its words and of those that a run of `least` words may have before and after it.
-
-    about: id, text, keys, spans (characters).
-    """
-    margin = least - PARAGRAPH
+def passages(about: DataFrame, least: int, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """key, id, asks: a row for each distinct band key of the passages of `least` words around the paragraphs of a document
+    that have one of its keys; asks: no span covers the paragraph. about: id, text, keys, spans (characters)."""
+    each, margin = least - WORDS + 1, least - PARAGRAPH
 
     def run(batches):
-        minhash = MinHash(count * rows, 7)
+        paragraph_hash, passage_hash = MinHash(count * rows, 7), MinHash(count * rows, 11)
         for batch in slices(batches):
-            out: dict = {n: [] for n in ("key", "id", "asks", "around")}
+            out: list = []
             for i, text, keys, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "keys", "spans")), strict=True):
-                words, seen = word_hashes(text), set()
-                at, found = paragraph_keys(words, minhash, rows=rows)
-                wanted, places = np.isin(found, np.array(keys, np.int64)), [m.span() for m in WORD.finditer(text)]
-                for k in np.flatnonzero(wanted.any(0)).tolist():
-                    start, end = places[at[k]][0], places[at[k] + PARAGRAPH - 1][1]
-                    asks = not any(s["start"] <= start and end <= s["end"] for s in spans or [])
-                    around = words[max(0, at[k] - margin) : at[k] + PARAGRAPH + margin].tobytes()
-                    for key in found[wanted[:, k], k].tolist():
-                        if (key, asks, around) not in seen:
-                            seen.add((key, asks, around))
-                            for n, v in zip(out, (key, i, asks, around), strict=True):
-                                out[n].append(v)
-            kinds = {"key": pa.int64(), "id": pa.int64(), "asks": pa.bool_(), "around": pa.binary()}
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, kinds[n]) for n, v in out.items()})
-
-    return about.select("id", "text", "keys", "spans").mapInArrow(run, "key long, id long, asks boolean, around binary")
-
-
-def more_pairs(members: DataFrame, bodies: DataFrame, spans: DataFrame, least: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, other): for each paragraph that no span covers, the least of the lower documents of its key, for each block of
-    them, that has a run around it. The least document of the key, which all were compared with, is not in members.
-
-    The documents of a key and those that ask are dealt over blocks, and each block of one meets each block of the other
-    in a group of bounded size.
-    """
+                words = word_hashes(text)
+                at, found = paragraph_keys(words, paragraph_hash, rows=rows)
+                at = at[np.isin(found, np.array(keys, np.int64)).any(0)]
+                if len(words) < least or not len(at):
+                    continue
+                places = [m.span() for m in WORD.finditer(text)]
+                starts_at, ends_at = (np.array([places[p][side] for p in where.tolist()]) for side, where in ((0, at), (1, at + PARAGRAPH - 1)))
+                asks = np.ones(len(at), bool)
+                for span in spans or []:
+                    asks &= ~((span["start"] <= starts_at) & (ends_at <= span["end"]))
+                every = window_keys(shingles(words), each, passage_hash, rows)
+                near = at[:, None] - margin + np.arange(margin + 1)
+                inside = (near >= 0) & (near < every.shape[1])
+                near, asking = near[inside], np.repeat(asks, margin + 1)[inside.reshape(-1)]
+                wanted, asked = np.unique(every[:, near]), np.unique(every[:, near[asking]])
+                out.append((wanted, np.full(len(wanted), i, np.int64), np.isin(wanted, asked)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, t) for t in (np.int64, np.int64, bool)]
+            yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in zip(("key", "id", "asks"), columns, strict=True)})
+
+    return about.select("id", "text", "keys", "spans").mapInArrow(run, "key long, id long, asks boolean")
+
+
+def more_pairs(members: DataFrame, bodies: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """(id, other): for the passages around each paragraph that no span covers, the least document that shares a band of
+    them. The least document of the paragraph's key, which all were compared with, is not in members."""
+    several = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    keys = members.join(several, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"))
     covered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    about = lambda rows: rows.groupBy("id").agg(F.collect_list("key").alias("keys")).join(bodies, "id").join(covered, "id", "left")
-    places = paragraphs(about(members.select("id", "key")), least).select("key", "id", "asks")
-    open_keys = places.groupBy("key").agg(F.min("id").alias("low"), F.max(F.when(F.col("asks"), F.col("id"))).alias("high")).where("low < high")
-    rows = stored(paragraphs(about(members.join(open_keys.select("key"), "key", "left_semi").select("id", "key")), least), "around")
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("across"), F.ceil(F.count_if("asks") / block).cast("int").alias("down"))
-    dealt = rows.join(sizes, "key")
-    place = lambda n: F.pmod(F.xxhash64("id", "around"), F.col(n)).cast("int")
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = dealt.select("key", "id", F.lit(False).alias("asking"), "around", place("across").alias("x"), to("down").alias("y"))
-    asking = dealt.where("asks").select("key", "id", F.lit(True).alias("asking"), "around", to("across").alias("x"), place("down").alias("y"))
-    # of a run of `least` words so many shingles are shared at the threshold
-    shared = int(2 * threshold / (1 + threshold) * (least - WORDS + 1))
-
-    def meet(key, table):
-        ids, asks = table["id"].to_numpy(), table["asking"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        held, asking = order[~asks[order]], order[asks[order]]
-        pairs = set()
-        if len(held) and len(asking) and ids[held[0]] < ids[asking[-1]]:
-            words = [np.frombuffer(x, np.uint64) for x in table["around"].to_pylist()]
-            own = [shingles(w) for w in words]
-            sets = [np.unique(x) for x in own]
-            both = in_common(sets, asking, held)
-            for i, row in zip(asking.tolist(), both, strict=True):
-                enough = row >= shared - (len(own[i]) - len(sets[i]))
-                for j in held[enough & (ids[held] < ids[i])].tolist():
-                    if shared_runs(words[i], sets[j], least, threshold):
-                        pairs.add((int(ids[i]), int(ids[j])))
-                        break
-        return pa.table({"id": pa.array([i for i, _ in pairs], pa.int64()), "other": pa.array([j for _, j in pairs], pa.int64())})
-
-    found = stored(held.union(asking).groupBy("key", "x", "y").applyInArrow(meet, "id long, other long").distinct(), "more")
+    rows = stored(passages(keys.join(bodies, "id").join(covered, "id", "left"), least), "passages")
+    lowest = rows.groupBy("key").agg(F.min("id").alias("other"), F.max(F.when(F.col("asks"), F.col("id"))).alias("high")).where("other < high")
+    found = stored(rows.where("asks").join(lowest.select("key", "other"), "key").where("other < id").select("id", "other").distinct(), "more")
     discard(rows)
     return found
 
@@ -250,7 +235,7 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
     pairs = stored(members.select("id", "other").distinct(), "pairs")
     bodies = stored(texts_of(docs, pairs.select("id").union(pairs.select(F.col("other"))).distinct()), "texts")
     first = stored(found_spans(pairs, bodies, least, threshold), "spans")
-    more = more_pairs(members, bodies, first, least, threshold)
+    more = more_pairs(members, bodies, first, least)
     spans = stored(first.union(found_spans(more.join(pairs, ["id", "other"], "left_anti"), bodies, least, threshold)), "spans")
     discard(members, pairs, first, more)
     linked = spans.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
