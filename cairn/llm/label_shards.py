@@ -1,16 +1,19 @@
 """Balanced label propagation into shards (operator 9), in DataFrame operations alone.
 
-A document's label is its shard; documents with equal texts are linked. Each round counts the labels of every group,
-names the group's target (its most frequent label among shards with room), and moves members whose own label is rarer
-there, within the room that linked documents have left in the target shard. Cells (group, shard) are counted before
-anything is joined, so a hot group has at most one row for each shard, and quotas are dealt over salts, so no task ranks
-a whole shard. At the end shards are made even exactly: each keeps its quota, linked documents before single ones,
-and what is over goes to the shards that lack rows. Law: counts at most one apart.
-
-A group larger than a shard fills its target and gathers the rest in the next one with room.
-
-Cases: a null text has size 16 and no links; empty texts are linked as any other; rows that share a doc_id are rows of
-their own; ties between labels go to the lower shard; an empty table gives an empty table; other columns are not read.
+A document's label is its shard; documents with equal texts are linked. The first label is by chance. The documents of a
+group that begin in one shard are a cell and move together, so a hot group has at most one row for each shard. Each round
+counts the labels of every group and names the group's target: its most frequent label, and in every other round the
+most frequent one among shards with room, since a full shard takes only as much as leaves it. What cells want to move is summed by pairs
+of shards, as much of it is admitted as room and departures of the same round allow, and cells fill these quotas by
+running sums over salts, so no task ranks a whole shard. Rounds end when they no longer bring linked documents together. At the end
+shards are made even exactly: each keeps its quota, linked documents before single ones, and what is over goes to the
+shards that lack rows. Law: counts at most one apart.
+
+A group larger than a shard is cut beforehand, by a hash of the doc_id, into parts of which each fits.
+
+Cases: a null text has size 16 and no links; empty texts are linked as any other; very long texts count by their size alone; rows that
+share a doc_id, null ones too, are rows of their own; ties between labels are settled by a hash; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from cairn.llm.common import discard, documents, stored
 
-SHARDS, ROUNDS, OVERHEAD = 40, 4, 16
+SHARDS, OVERHEAD = 40, 16
+GAIN = 0.002  # a round that brings less than this share of the scattered documents together is of no use
+CELLS = 50_000  # ranked by one task
 
 
 def salt(n: int, *seed):
@@ -38,27 +43,56 @@ def nodes(docs: DataFrame, shards: int) -> DataFrame:
     ).withColumn("shard", salt(shards, "label"))
 
 
-def propagate(linked: DataFrame, n: int, shards: int, rounds: int, salts: int) -> DataFrame:
-    """linked with labels after the rounds. n: rows of the whole table."""
-    at_most = n // shards
-    for r in range(rounds):
-        cells = stored(linked.groupBy("g", "shard").count(), "cells")
-        load = {row.shard: row["sum(count)"] for row in cells.groupBy("shard").sum("count").collect()}  # a row a shard
-        room = [max(0, at_most - load.get(s, 0)) for s in range(shards)]
-        has_room = F.array(*(F.lit(x > 0) for x in room))[F.col("shard")]
-        target = cells.where(has_room).groupBy("g").agg(F.max(F.struct("count", -F.col("shard"))).alias("t"))
-        target = target.select("g", (-F.col("t.col2")).alias("target"), F.col("t.count").alias("n_target"))
-        moves = cells.join(target, "g").where(F.col("shard") != F.col("target")).where(has_room | (F.col("n_target") > F.col("count"))).select("g", "shard", "target")
-        ranked = linked.join(moves, ["g", "shard"], "left").withColumn("salt", salt(salts, "quota", r))
-        place = F.row_number().over(Window.partitionBy("target", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", "g"))
-        movers = ranked.where("target IS NOT NULL").withColumn("place", place)
-        share = F.array(*(F.lit(x) for x in room))[F.col("target")]
-        # the room is dealt over the salts without a rest
-        quota = F.floor(share / salts) + (F.col("salt") < share % salts).cast("long")
-        moved = movers.withColumn("shard", F.when(F.col("place") <= quota, F.col("target")).otherwise(F.col("shard")))
-        before, linked = linked, stored(moved.select(linked.columns).union(ranked.where("target IS NULL").select(linked.columns)), "labels")
-        discard(cells, *([before] if r else []))
-    return linked
+def admitted(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """As many of the wanted moves (from, to: rows) as keep every shard within its room: two shards exchange what both want,
+    and the rest goes where room is, which leaves room where it came from."""
+    moves, room = {(a, b): min(n, wanted.get((b, a), 0)) for (a, b), n in wanted.items()}, list(room)
+    more = True
+    while more:
+        more = False
+        for (a, b), n in wanted.items():
+            if (step := min(n - moves[a, b], room[b])) > 0:
+                moves[a, b] += step
+                room[b] -= step
+                room[a] += step
+                more = True
+    return moves
+
+
+def propagate(cells: DataFrame, quota: list[int]) -> DataFrame:
+    """Stored cells (unit, first, shard, n) with the shards that the rounds lead to."""
+    shards, scattered, idle, r = len(quota), None, 0, 0
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    while True:
+        labels = stored(cells.groupBy("unit", "shard").agg(F.sum("n").alias("n")), "labels")
+        load = {row.shard: row["sum(n)"] for row in labels.groupBy("shard").sum("n").collect()}  # a row a shard
+        apart = labels.groupBy("unit").agg((F.sum("n") - F.max("n")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        idle = idle + 1 if scattered is not None and apart > scattered * (1 - GAIN) else 0
+        scattered = apart if scattered is None else min(apart, scattered)
+        if not apart or idle == 2:
+            discard(labels)
+            return cells
+        room = [q - load.get(s, 0) for s, q in enumerate(quota)]
+        open_to = F.array(*(F.lit(x > 0 or r % 2 == 0) for x in room))[F.col("shard")]
+        best = F.max_by("shard", F.struct("n", F.xxhash64(F.lit(r), "unit", "shard")))
+        target = stored(labels.where(open_to).groupBy("unit").agg(best.alias("target")), "targets")
+        wanted = stored(cells.join(target, "unit").where("shard <> target"), "wanted")
+        asked = wanted.groupBy("shard", "target").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()  # a row for each two shards
+        moves = admitted({(x.shard, x.target): x.n for x in asked}, room)
+        table, salts = [0] * shards * shards, [1] * shards * shards
+        for x in asked:
+            at = x.shard * shards + x.target
+            table[at], salts[at] = moves[x.shard, x.target], 1 + x.cells // CELLS
+        pair = F.col("shard") * shards + F.col("target")
+        dealt = wanted.withColumn("salts", longs(salts)[pair]).withColumn("salt", F.pmod(F.xxhash64(F.lit(r), "first", "unit"), F.col("salts")))
+        place = F.sum("n").over(Window.partitionBy("shard", "target", "salt").orderBy(F.xxhash64("unit", F.lit(r)), "unit", "first"))
+        share = longs(table)[pair]
+        # the quota is dealt over the salts without a rest
+        quota_here = F.floor(share / F.col("salts")) + (F.col("salt") < share % F.col("salts")).cast("long")
+        go = dealt.withColumn("place", place).where(F.col("place") <= quota_here).select("unit", "first", "target")
+        after = stored(cells.join(go, ["unit", "first"], "left").select("unit", "first", F.coalesce("target", "shard").alias("shard"), "n"), "cells")
+        discard(labels, target, wanted, cells)
+        cells, r = after, r + 1
 
 
 def numbered(rows: DataFrame, by: list[str], order: list, salts: int, name: str) -> DataFrame:
@@ -94,15 +128,23 @@ def even(rows: DataFrame, shards: int, salts: int) -> DataFrame:
     return placed.where(kept).select(columns).union(over.select(columns))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not `key`)."""
     salts = max(8, min(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     base = stored(nodes(docs, shards), "nodes")
-    groups = base.groupBy("g").count().where("g IS NOT NULL AND count > 1").select("g", F.lit(0).alias("single"))
-    marked = stored(base.join(groups, "g", "left").withColumn("single", F.coalesce("single", F.lit(1))), "marked")
-    discard(base)
-    linked = propagate(marked.where("single = 0"), marked.count(), shards, rounds, salts)
-    spread = even(linked.unionByName(marked.where("single = 1")), shards, salts)
+    n = base.count()
+    quota = [n // shards + (s < n % shards) for s in range(shards)]
+    groups = base.where("g IS NOT NULL").groupBy("g").count().where("count > 1")
+    # a little more parts than would fill shards: a hash does not deal evenly
+    groups = stored(groups.select("g", F.when(F.col("count") <= max(1, quota[-1]), 1).otherwise(1 + F.ceil(F.col("count") / max(1, quota[-1]))).alias("parts")), "groups")
+    linked = base.join(groups, "g").withColumn("unit", F.xxhash64("g", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.col("parts")))).drop("g", "parts")
+    linked = stored(linked.withColumnRenamed("shard", "first"), "linked")
+    start = stored(linked.groupBy("unit", "first").agg(F.count("*").alias("n")).select("unit", "first", F.col("first").alias("shard"), "n"), "cells")
+    cells = propagate(start, quota)
+    single = base.where("g IS NULL").union(base.where("g IS NOT NULL").join(groups, "g", "left_anti").select(base.columns))
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    labelled = linked.join(cells.select("unit", "first", "shard"), ["unit", "first"]).select(*columns, F.lit(0).alias("single"))
+    spread = even(labelled.union(single.select(*columns, F.lit(1).alias("single"))), shards, salts)
     return spread.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

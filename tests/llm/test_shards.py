@@ -30,6 +30,37 @@ def test_groups_stay_together_and_shards_are_even(spark, docs):
     assert sum(len(g) == 1 for g in groups) >= 0.95 * len(groups)
 
 
+def cut(groups):
+    """The share of linked pairs that are in two shards."""
+    pairs = sum(g.total() * (g.total() - 1) for g in groups)
+    return 1 - sum(n * (n - 1) for g in groups for n in g.values()) / max(1, pairs)
+
+
+def test_crowded_tables_cut_few_edges(spark, docs):
+    for size, linked in ((2, 1.0), (5, 0.7), (30, 0.9)):
+        texts = [f"t{i // size}" if i < 4000 * linked else f"s{i}" for i in range(4000)]
+        groups = check(label_shards.shard_documents(docs(texts), 8).collect(), dict(enumerate(texts)), 8)
+        assert cut(groups) < 0.1, (size, linked, cut(groups))
+
+
+def test_admitted_moves_fit():
+    wanted = {(0, 1): 50, (1, 2): 30, (2, 0): 30, (3, 1): 10, (1, 3): 5}
+    room = [0, 3, -5, 0]
+    moves = label_shards.admitted(wanted, room)
+    for s in range(4):
+        into, out = (sum(n for pair, n in moves.items() if pair[side] == s) for side in (1, 0))
+        assert into - out <= max(0, room[s])
+    assert all(0 <= n <= wanted[pair] for pair, n in moves.items()) and moves[1, 3] == 5 and moves[3, 1] >= 5
+    assert label_shards.admitted({}, [1, 2]) == {}
+
+
+def test_null_and_repeated_ids(spark, docs):
+    table = docs(["a", "a", "b"]).unionByName(docs(["a", "c"])).selectExpr("nullif(doc_id, 1) AS doc_id", "text")
+    rows = label_shards.shard_documents(table, 2).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == [-1, -1, 0, 0, 2]
+    assert sorted((r.shard, r.slot) for r in rows) in ([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)], [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)])
+
+
 def test_a_third_of_all_rows_are_one_text(spark, docs):
     texts = ["hot"] * 400 + [f"s{i}" for i in range(800)]
     (group,) = check(label_shards.shard_documents(docs(texts), 8).collect(), dict(enumerate(texts)), 8)
@@ -45,7 +76,8 @@ def test_small_tables(spark, docs):
 def test_query(spark):
     data = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    check(label_shards.query(spark, data).collect(), texts, 40)
+    groups = check(label_shards.query(spark, data).collect(), texts, 40)
+    assert cut(groups) < 0.2
 
 
 def test_plan_has_no_python(spark, docs):
