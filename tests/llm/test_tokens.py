@@ -85,13 +85,34 @@ def test_packing_is_dense(spark):
     assert check_packing(rows, texts) <= 1.01 * sum(r.length for r in rows) / 2048 + 1
 
 
+def test_sequences_follow_tokens_not_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(150)
+    rows = best_fit.pack_default(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert check_packing(rows, texts) <= 1.01 * sum(r.length for r in rows) / 2048 + 1
+    several = best_fit.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, again=1 << 17).collect()
+    assert check_packing(several, texts) <= 1.03 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_only_equal_tokenizers_are_handed_over(tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    assert best_fit.same_ids(path, P.PATTERN) and not best_fit.same_ids(path, r"\S+|\s+")
+    assert not best_fit.same_ids(P.path("word_bpe_49k.json"), P.PATTERN)
+
+
+def test_repeated_and_null_ids(spark, docs):
+    table = docs(["a b", "c"]).unionByName(docs(["d"])).selectExpr("nullif(doc_id, 1) AS doc_id", "text", "'x' AS sequence_id")
+    rows = best_fit.pack_default(table).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.length) for r in rows) == [(-1, 2), (0, 2), (0, 3)]
+
+
 def test_open_bins_by_brute_force():
     rng = np.random.default_rng(1)
     bins, open_now = best_fit.OpenBins(64, 5), {}
     for length in rng.integers(1, 65, 2000).tolist():
         least = min(open_now.values(), default=0)
         fits = [f for f in open_now.values() if f >= length]
-        seq, offset = bins.place(length)
+        seq, offset, closed_now = bins.place(length)
         if fits:
             assert open_now[seq] == min(fits) and offset == 64 - min(fits)
         else:
@@ -99,9 +120,10 @@ def test_open_bins_by_brute_force():
             if len(open_now) == 5:
                 still = {b for ids in bins.open.values() for b in ids} | {seq}
                 (closed,) = set(open_now) - still
-                assert open_now.pop(closed) == least
+                assert open_now.pop(closed) == least and closed in closed_now
             open_now[seq] = 64
         open_now[seq] -= length
         if not open_now[seq]:
+            assert seq in closed_now
             del open_now[seq]
         assert sorted(open_now.values()) == sorted(f for f, bs in bins.open.items() for _ in bs)
