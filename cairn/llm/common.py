@@ -63,6 +63,38 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """doc_id of more than one row, or None; only ids are read."""
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        return repeated
+    discard(repeated)
+    return None
+
+
+def one_text_each(docs: DataFrame) -> DataFrame:
+    """doc_id, text with one row for each doc_id that is not null: of rows that share one, the least text (a null one only
+    if there is no other). Only these rows are shuffled with their texts."""
+    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    repeated = repeated_ids(known)
+    if repeated is None:
+        return known
+    least = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    out = known.join(repeated, "doc_id", "left_anti").union(least)
+    out._repeated = True
+    return out
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs (no null doc_id) with one row for each doc_id, one with the least text."""
+    repeated = repeated_ids(docs)
+    if repeated is None:
+        return docs
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text")).alias("_row")).select("_row.*")
+    return docs.join(repeated, "doc_id", "left_anti").select(docs.columns).union(least)
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for every node of links (a, b: long, any order, repeats allowed); root: the least node of its component.
 

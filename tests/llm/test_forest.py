@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pyspark.sql.functions as F
+
 from cairn.llm import lsh_forest
 from cairn.llm.common import components
 
@@ -89,12 +91,48 @@ def test_links_count_every_similar_text(spark, docs):
     want = brute_links(dict(enumerate(texts)))
     assert max(want.values()) == 39
     assert {r.doc_id: r.links for r in lsh_forest.join_documents(docs(texts)).collect()} == want
-    sketched = lsh_forest.sketches(docs(texts), 16, 8, 5)
-    small = lsh_forest.links(docs(texts), sketched, 0.8, 16, 8, 0.9995, 5, block=7).groupBy("id").sum("n").collect()
-    first = {}
-    for i, t in enumerate(texts):
-        first.setdefault(t, i)
-    assert {r["id"]: r["sum(n)"] for r in small} == {i: n for i, n in want.items() if n and first[texts[i]] == i}
+    assert {r.doc_id: r.links for r in lsh_forest.join_documents(docs(texts), block=7, size=4000).collect()} == want
+
+
+def test_two_large_classes_of_one_node_do_not_meet(spark, docs):
+    """Near copies of two texts that share a third of their words: links within each class are counted without comparing, and
+    rows that are dealt to groups grow with the members."""
+    rng = random.Random(8)
+    same = [str(rng.random()) for _ in range(150)]
+    texts = []
+    for k in range(2):
+        base = same + [str(rng.random()) for _ in range(150)]
+        texts += [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in range(0, 300, 3)]
+    want = brute_links(dict(enumerate(texts)))
+    assert set(want.values()) == {99}
+    assert {r.doc_id: r.links for r in lsh_forest.join_documents(docs(texts), block=10).collect()} == want
+    table = docs(texts).select(F.lit(1).cast("long").alias("node"), F.col("doc_id").alias("id"), F.expr("CASE WHEN doc_id < 100 THEN 0L ELSE 100L END").alias("cluster"), F.lit(1).cast("long").alias("size"))
+    bodies = docs(texts).selectExpr("doc_id AS id", "text")
+    assert lsh_forest.dealt(table, bodies, 0.8, 5, 10, 1 << 20).count() == 0
+    alike = bodies.selectExpr("id", "'the same words in all of them' AS text")
+    assert lsh_forest.dealt(table, alike, 0.8, 5, 10, 1 << 20).count() == 200 * 10
+
+
+def test_shortening_ends_when_the_recall_is_reached(spark, docs, monkeypatch):
+    lengths, own = [], lsh_forest.dealt
+    monkeypatch.setattr(lsh_forest, "dealt", lambda *rest: lengths.append(1) or own(*rest))
+    rng = random.Random(9)
+    base = [[str(rng.random()) for _ in range(400)] for _ in range(3)]
+    near = [" ".join([*b[:k], "edit", *b[k + 1 :]]) for b in base for k in range(4)]
+    lsh_forest.join_documents(docs(near)).count()
+    assert len(lengths) == 1
+    lengths.clear()
+    lsh_forest.join_documents(docs(near + [" ".join([*near[0].split()[:40], "new"]), " ".join([*near[0].split()[:47], "old"])])).count()
+    assert len(lengths) == 3
+
+
+def test_rows_that_share_an_id(spark, docs):
+    texts = ["a b c d e f", "x y z", "x y z", "b"]
+    table = docs(texts).unionByName(docs(["x y z"])).unionByName(docs(["q"]).selectExpr("3L AS doc_id", "text", "lang", "source", "n_chars", "key"))
+    rows = sorted((r.doc_id, r.class_id, r.copy_of) for r in lsh_forest.join_documents(table).collect())
+    assert rows == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (2, 1, 1), (3, 3, 3), (3, 3, 3)]
+    kept = sorted((r.doc_id, r.text) for r in lsh_forest.one_of_each(table).collect())
+    assert kept == [(0, "a b c d e f"), (1, "x y z"), (3, "b")]
 
 
 def test_odd_rows(spark, docs):
