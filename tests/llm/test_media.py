@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 from cairn.llm import interleaved as il
@@ -26,38 +27,61 @@ def test_sequences_keep_order_and_captions():
 def test_media_are_lossless(text):
     payload, n = il.payload_of(text)
     assert n == len((text or "").encode()) and len(payload) % 192 == 0 and len(payload) - n < 192 + (n == 0)
-    pixels = il.decode_media(il.encode_media(payload))
-    assert pixels.shape == (len(payload) // 192, 64, 3) and pixels.tobytes() == payload
+    pixels, said = il.decode_media(il.encode_media(payload, n))
+    assert said == n and pixels.shape == (len(payload) // 192, 64, 3) and pixels.tobytes() == payload
     assert il.feature_of(pixels) == il.feature_of(np.array(pixels))
-    for bad in (b"P5\n64 1\n255\n" + payload[:192], il.encode_media(payload)[:-1]):
+    for bad in (b"P5\n# 1 bytes\n64 1\n255\n" + payload[:192], il.encode_media(payload, n)[:-1]):
         with pytest.raises(ValueError, match="pixmap"):
             il.decode_media(bad)
     with pytest.raises(ValueError, match="multiple"):
-        il.encode_media(b"abc")
+        il.encode_media(b"abc", 3)
 
 
-def check(rows, texts):
+def check(rows, texts, sources):
+    """Every value by brute force: digests, features, and each document's text in order around its two references."""
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     values = {}
     for r in rows:
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        media = il.encode_media(payload)
+        media = il.encode_media(payload, len(raw))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-        assert r.feature == il.feature_of(il.decode_media(media)) and (r.position, r.caption) == (1, f"{len(raw)} bytes of text")
-        assert values.setdefault(texts[r.doc_id], r[1:]) == r[1:]
+        assert r.feature == il.feature_of(il.decode_media(media)[0])
+        own = tuple(r[1:8])
+        assert values.setdefault(texts[r.doc_id], own) == own
+        assert [p.position for p in r.sequence] == list(range(len(r.sequence)))
+        first, second = (p for p in r.sequence if p.kind == "media")
+        source = sources[r.doc_id] or ""
+        assert first.position == 0 and (first.digest, first.n_bytes) == (hashlib.sha256(source.encode()).hexdigest(), len(source.encode()))
+        assert first.caption == " ".join(f"source {source}".split()) and second.caption == f"document {r.doc_id}"
+        assert (second.digest, second.media_sha256) == (hashlib.sha256(raw).hexdigest(), r.media_sha256)
+        parts = [p for p in r.sequence if p.kind == "text"]
+        assert " ".join(p.text for p in parts) == " ".join(raw.decode().split())
+        assert all(p.digest is None and p.media_bytes is None for p in parts)
+        if len(raw.split()) > 40:
+            assert [p.kind for p in r.sequence] == ["media", "text", "media", "text"]
 
 
 def test_query_on_odd_texts(spark, docs, tmp_path):
-    texts = [None, "", " ", "a", "a ", "a" * 192, "a" * 192 + " ", "b" * 30_000, "same", "same", "same"]
-    docs(texts).withColumnRenamed("source", "source").write.parquet(str(tmp_path / "documents.parquet"))
-    check(il.query(spark, str(tmp_path)).collect(), dict(enumerate(texts)))
+    texts = [None, "", " ", "a", "a ", "a" * 192, "a" * 192 + " ", "b" * 30_000, "same", "same", "same", "<p>x</p> &amp; <img src='media:1'> & </article> y", "\n\t two  words \u00a0 more\r\n"]
+    docs(texts).withColumn("digest", F.lit("clash")).withColumn("position", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    check(il.query(spark, str(tmp_path)).collect(), dict(enumerate(texts)), dict.fromkeys(range(len(texts)), "s"))
+
+
+def test_query_on_null_sources_repeated_ids_and_no_rows(spark, docs, tmp_path):
+    rows = docs(["a", "b"]).withColumn("source", F.lit(None).cast("string")).unionByName(docs(["c"])).selectExpr("nullif(doc_id, 1) AS doc_id", "text", "source")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.sequence[0].n_bytes, r.sequence[-1].caption or r.sequence[-2].caption) for r in il.query(spark, str(tmp_path)).collect())
+    assert [g[:3] for g in got] == [(-1, 1, 0), (0, 1, 0), (0, 1, 1)]
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert il.query(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_query(spark):
     data = "/root/testdata/sf0.001"
-    check(il.query(spark, data).collect(), {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()})
+    table = spark.read.parquet(f"{data}/documents.parquet").collect()
+    check(il.query(spark, data).collect(), {r.doc_id: r.text for r in table}, {r.doc_id: r.source for r in table})
 
 
 def test_resolution_keeps_unknown_references(spark, docs):
