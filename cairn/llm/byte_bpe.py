@@ -5,8 +5,9 @@ negative rank, and the normaliser is the identity, so sentencepiece merges in ra
 the vocabulary's pattern and each pre-token is encoded by itself; a pre-token that is a token is that token, as in the
 rank file's own library. Ids decode by the inverse byte map.
 
-Cases: a null text is the empty text (no ids, the digests of no bytes); repeated rows give repeated rows; an empty
-table gives an empty table; other columns are not read.
+Cases: a null text is the empty text (no ids, the digests of no bytes); very long texts are encoded whole; repeated
+rows, rows that share a doc_id and rows with a null one give a row each; an empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations

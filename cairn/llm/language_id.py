@@ -9,8 +9,9 @@ Training takes a bounded sample: at most SAMPLE labelled documents, spread evenl
 of the id; all else covers all rows. Prediction sees the text alone.
 
 Cases: a null text, or one without a letter, is `und` with score 0; documents without a label are not learned from;
-ties go to the label that sorts first; without any labelled document all is `und`; an empty table gives an empty table;
-repeated rows give repeated rows; other columns are not read.
+very long texts are read whole; ties go to the label that sorts first; without any labelled document all is `und`; a null doc_id
+counts as the empty text in the split; an empty table gives an empty table; repeated rows, and rows that share a doc_id, give
+a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_map, documents, id_crc
+from cairn.llm.common import arrow_map, documents, id_crc, slices
 
 #: Labelled documents learned from at most, features, rounds of training.
 SAMPLE, FEATURES, ROUNDS = 4000, 4096, 150
@@ -164,14 +165,9 @@ def accepted(docs: DataFrame, model: Hierarchy, least: float = 0.0) -> DataFrame
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("lang")
-            langs, scores = [], []
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for i in range(0, len(texts), 128):
-                a, b = model.predict(texts[i : i + 128])
-                langs += a
-                scores += b
+            langs, scores = model.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             kept = pa.array([lang != UNKNOWN and score > least for lang, score in zip(langs, scores, strict=True)])
             yield batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type)).filter(kept)
 

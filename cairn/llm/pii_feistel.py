@@ -8,7 +8,11 @@ A date written month first
 is read back only where its new day is above twelve, so that it stays linked with the same date written otherwise.
 E-mail local parts, access keys and assigned secrets go the same way, character class by character class.
 
-Cases: a null text stays null, an empty one empty; numbers that fail their validation stay as they are; where two kinds
+The key is the caller's, or the session's setting KEY_SETTING; where neither is given a session draws one by chance, so its
+pseudonyms are linked with each other and nobody can invert them later.
+
+Cases: a null text stays null, an empty one empty; very long texts are read whole; rows that share a doc_id, or have none, are
+rows of their own; numbers that fail their validation stay as they are; where two kinds
 overlap, the one that starts first, then the one listed first in KINDS, holds. Repeated rows give repeated rows; an empty
 table gives an empty table; other columns are not read by `pseudonyms` and are kept by `pseudonymised`.
 """
@@ -20,13 +24,14 @@ import functools
 import hashlib
 import math
 import re
+import secrets
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_map, documents
+from cairn.llm.common import arrow_map, documents, slices
 
-KEY = b"pseudonyms of this corpus"  # production callers pass their own secret
+KEY_SETTING = "spark.cairn.pseudonyms.key"
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
@@ -86,7 +91,7 @@ def iban_rest(text: str) -> int:
 class Pseudonymiser:
     """text -> (text with pseudonyms, spans as (start, end, kind) of the original)."""
 
-    def __init__(self, key: bytes = KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
         self.key, self.back, self.made = key, back, {}
 
     def number(self, kind: str, x: int, n: int) -> int:
@@ -238,8 +243,18 @@ def replace(text: str, keyed: Pseudonymiser) -> tuple[str, list[tuple[int, int,
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+_drawn = secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key, or this driver's own, drawn when it started."""
+    said = spark.conf.get(KEY_SETTING, None)
+    return said.encode() if said else _drawn
+
+
+def pseudonyms(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and for each kind how many values were replaced. back: the inverse."""
+    key = key or key_of(docs.sparkSession)
     names = ["doc_id", "text", *(f"n_{k}" for k in NAMES)]
 
     def make():
@@ -261,13 +276,15 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFra
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, text string" + "".join(f", n_{k} int" for k in NAMES), names)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with the pseudonyms in `text`; all other columns and the schema stay."""
     import pyarrow as pa
 
+    key = key or key_of(docs.sparkSession)
+
     def run(batches):
         keyed = Pseudonymiser(key)
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             new = [replace(text, keyed)[0] if text else text for text in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))

@@ -137,6 +137,30 @@ def test_query(spark):
     assert copies <= {r.doc_id for r in rows if r.text == ""}
 
 
+def test_query_leaves_no_passage_twice(spark):
+    """By brute force: after removal no 50 words in a row stand in two documents, and what went stood in a lower one."""
+    data = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in pd.query(spark, data).collect()}
+    windows = lambda t: {tuple(w[i : i + 50]) for w in [t.split()] for i in range(len(w) - 49)}
+    before, after = {}, {}
+    for i in sorted(texts):
+        for w in windows(texts[i]):
+            before.setdefault(w, []).append(i)
+        kept = rows[i].text.lower() if i in rows else texts[i]
+        for part in kept.split("\n") if i in rows and rows[i].spans else [kept]:
+            for w in windows(part):
+                after.setdefault(w, []).append(i)
+    twice = sum(len(ids) > 1 for ids in before.values())
+    left = sum(len(ids) > 1 for ids in after.values())
+    assert twice > 1000 and left <= 0.002 * twice, (left, twice)
+    shingle = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    for r in rows.values():
+        for s in r.spans:
+            own, other = shingle(texts[r.doc_id][s.start : s.end]), shingle(texts[s.kept_in])
+            assert len(own & other) >= 0.8 * len(own)
+
+
 def test_hashes_of_words_and_blocks(monkeypatch):
     from cairn.llm import shingles
 

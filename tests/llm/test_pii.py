@@ -8,6 +8,7 @@ import pytest
 
 from cairn.llm import pii_feistel as pii
 
+KEY = b"a key of these tests"
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 73049])
 def test_permutation_and_inverse(n):
@@ -37,27 +38,27 @@ SAMPLES = {
 @pytest.mark.parametrize(("kind", "value"), [(k, v) for k, vs in SAMPLES.items() for v in vs])
 def test_kinds_keep_their_format_and_invert(kind, value):
     text = f"Before {value} after, and {value}."
-    new, spans = pii.replace(text, pii.Pseudonymiser())
+    new, spans = pii.replace(text, pii.Pseudonymiser(KEY))
     assert [s[2] for s in spans] == [kind, kind] and value not in new
     got = re.fullmatch("Before (.*) after, and (.*)[.]", new)
     assert got and got[1] == got[2]
     shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", t)))
     assert kind in ("ip", "secret") or shape(got[1]) == shape(value)
-    again, spans = pii.replace(new, pii.Pseudonymiser())  # the pseudonym is a valid value of its kind
+    again, spans = pii.replace(new, pii.Pseudonymiser(KEY))  # the pseudonym is a valid value of its kind
     assert [s[2] for s in spans] == [kind, kind]
-    assert value == "03/21/1987" or pii.replace(new, pii.Pseudonymiser(back=True))[0] == text
+    assert value == "03/21/1987" or pii.replace(new, pii.Pseudonymiser(KEY, back=True))[0] == text
 
 
 @pytest.mark.parametrize("text", ["4784851294097234", "999.1.1.1", "1.2.3.4.5", "2023-02-30", "000-12-3456", "GB82 WEST 1234 5698 7654 33", "+1 (169) 555-7420", "1111111111111111", "plain words, 12 of them", "version 10.2", "a@b", ""])
 def test_what_is_not_valid_stays(text):
-    assert pii.replace(text, pii.Pseudonymiser()) == (text, [])
+    assert pii.replace(text, pii.Pseudonymiser(KEY)) == (text, [])
 
 
 def test_equal_values_stay_linked_whatever_their_separators():
     digits = card("478485129409727")
     forms = [digits, " ".join(digits[i : i + 4] for i in range(0, 16, 4)), "-".join(digits[i : i + 4] for i in range(0, 16, 4))]
-    assert len({re.sub(r"\D", "", pii.replace(f, pii.Pseudonymiser())[0]) for f in forms}) == 1
-    dates = {pii.replace(f, pii.Pseudonymiser())[0] for f in ("1987-03-21", "21.03.1987")}
+    assert len({re.sub(r"\D", "", pii.replace(f, pii.Pseudonymiser(KEY))[0]) for f in forms}) == 1
+    dates = {pii.replace(f, pii.Pseudonymiser(KEY))[0] for f in ("1987-03-21", "21.03.1987")}
     (iso,) = [d for d in dates if "-" in d]
     (dotted,) = [d for d in dates if "." in d]
     assert datetime.date.fromisoformat(iso).strftime("%d.%m.%Y") == dotted
@@ -68,7 +69,7 @@ def test_ssn_and_iban_stay_valid():
     seen = set()
     for _ in range(300):
         area = rng.choice([a for a in (1, 665, 667, 899, rng.randrange(1, 666))])
-        new, spans = pii.replace(f"{area:03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}", pii.Pseudonymiser())
+        new, spans = pii.replace(f"{area:03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}", pii.Pseudonymiser(KEY))
         a, g, s = map(int, new.split("-"))
         assert spans and a not in (0, 666) and a < 900 and g and s
         seen.add(new)
@@ -85,10 +86,26 @@ def test_table(spark, docs):
     assert pii.pseudonymised(docs(texts)).schema == docs(texts).schema and pii.pseudonyms(docs(texts).limit(0)).count() == 0
 
 
+def test_keys(spark, docs):
+    table = docs(["call +1 (869) 555-7420"])
+    text = lambda key: pii.pseudonyms(table, key).first().text
+    assert text(b"a") == text(b"a") != text(b"b") and text(None) == pii.replace(table.first().text, pii.Pseudonymiser(pii.key_of(spark)))[0]
+    spark.conf.set(pii.KEY_SETTING, "a")
+    try:
+        assert text(None) == text(b"a")
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_null_and_repeated_ids(spark, docs):
+    table = docs(["8.8.8.8", "x"]).unionByName(docs(["y"])).selectExpr("nullif(doc_id, 1) AS doc_id", "text", "1 AS n_ip")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_ip) for r in pii.pseudonyms(table).collect()) == [(-1, 0), (0, 0), (0, 1)]
+
+
 def test_query_leaves_no_value_behind(spark):
     data = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    keyed, n = pii.Pseudonymiser(), 0
+    keyed, n = pii.Pseudonymiser(pii.key_of(spark)), 0
     for r in pii.query(spark, data).collect():
         want, spans = pii.replace(texts[r.doc_id], keyed)
         assert r.text == want and r.n_replaced == len(spans)

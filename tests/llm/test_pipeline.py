@@ -60,7 +60,7 @@ def test_stages(spark, tmp_path):
                 gone = [had[tuple(old[k : k + 5])] for k in range(len(old) - 4) if tuple(old[k : k + 5]) not in kept]
                 assert sum(first < i for first in gone) >= 0.7 * len(gone)
         else:
-            keyed = pii_feistel.Pseudonymiser()
+            keyed = pii_feistel.Pseudonymiser(pii_feistel.key_of(spark))
             assert all(now[i].text == pii_feistel.replace(before[i].text, keyed)[0] for i in now) and set(now) == set(before)
 
 
