@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,41 @@ class JournalMismatch(ValueError):
     """A journal that belongs to another version, snapshot, base or block list."""
 
 
+class Writer:
+    """A journal file that one writer appends to. Entries are held until `checkpoint`, which the caller calls once the blocks
+    that they name are durable themselves."""
+
+    def __init__(self, path: str, snapshot_id: str, blocks: int, base: str | None = None):
+        self.held: list[dict] = []
+        new = not os.path.exists(path) or not os.path.getsize(path)
+        self.file = open(path, "a+b")  # noqa: SIM115
+        if new:
+            self.held.append({"v": VERSION, "id": snapshot_id, "blocks": blocks} | ({"base": base} if base else {}))
+            self.checkpoint()
+            return
+        self.file.seek(-1, os.SEEK_END)
+        if self.file.read(1) != b"\n":  # a torn line would swallow the next one
+            self.file.write(b"\n")
+
+    def record(self, ordinal: int, length: int, sha256: str) -> None:
+        self.held.append({"o": ordinal, "len": length, "sha": sha256})
+
+    def clear(self, ordinal: int) -> None:
+        """The block is to be fetched again."""
+        self.record(ordinal, 0, "")
+
+    def checkpoint(self) -> None:
+        if self.held:
+            self.file.write(b"".join(json.dumps(entry, separators=(",", ":")).encode() + b"\n" for entry in self.held))
+            self.held = []
+        self.file.flush()
+        os.fsync(self.file.fileno())
+
+    def close(self) -> None:
+        self.checkpoint()
+        self.file.close()
+
+
 def replay(entries: DataFrame, key: str, order: str, value: list[str], cleared) -> DataFrame:
     """The last entry of each key, without keys whose last entry clears them. max_by is pre-aggregated, so a key with
     many entries costs a row for each task."""

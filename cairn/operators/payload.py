@@ -28,6 +28,19 @@ def all_zero(data: bytes | memoryview) -> bool:
     return all(view[i : i + len(_ZEROS)] == _ZEROS[: min(len(_ZEROS), len(view) - i)] for i in range(0, len(view), len(_ZEROS)))
 
 
+def batched(rows: Iterable[tuple], schema: pa.Schema, sizes: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about `limit` bytes; sizes: the place of the payload in a row."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[sizes])
+        if size >= limit:
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*held, strict=True), strict=True)), schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*held, strict=True), strict=True)), schema=schema)
+
+
 def zero_flags(blocks: DataFrame, data: str = "data") -> DataFrame:
     """blocks with `zero` instead of the payload."""
     keep = [c for c in blocks.columns if c != data]
@@ -82,37 +95,34 @@ def merkle_digest(blocks: DataFrame, index: str = "idx", sha256: str = "sha256",
 
 def encode_frames(blocks: DataFrame, level: int = 3, index: str = "idx", offset: str = "byte_offset", data: str = "data") -> DataFrame:
     """idx, byte_offset, raw_len, stored_len, raw_sha256, frame: a zstd frame for each block that is not all zeros."""
+    schema = pa.schema([("idx", pa.int64()), ("byte_offset", pa.int64()), ("raw_len", pa.int32()), ("stored_len", pa.int32()), ("raw_sha256", pa.string()), ("frame", pa.binary())])
 
-    def run(batches):
+    def rows(batches):
         codec = pa.Codec("zstd", compression_level=level)
         for batch in batches:
-            for row in range(batch.num_rows):
-                payload = batch.column(2)[row].as_buffer()
-                if payload is None or all_zero(payload):
-                    continue
-                frame = codec.compress(payload, asbytes=True)
-                yield pa.RecordBatch.from_pydict({
-                    "idx": batch.column(0).slice(row, 1), "byte_offset": batch.column(1).slice(row, 1), "raw_len": pa.array([len(payload)], pa.int32()),
-                    "stored_len": pa.array([len(frame)], pa.int32()), "raw_sha256": [hashlib.sha256(payload).hexdigest()], "frame": [frame],
-                })
+            for idx, start, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                payload = value.as_buffer()
+                if payload is not None and not all_zero(payload):
+                    frame = codec.compress(payload, asbytes=True)
+                    yield idx, start, len(payload), len(frame), hashlib.sha256(payload).hexdigest(), frame
 
-    return blocks.select(F.col(index).cast("long"), F.col(offset).cast("long"), data).mapInArrow(run, "idx long, byte_offset long, raw_len int, stored_len int, raw_sha256 string, frame binary")
+    return blocks.select(F.col(index).cast("long"), F.col(offset).cast("long"), data).mapInArrow(lambda batches: batched(rows(batches), schema, 5), "idx long, byte_offset long, raw_len int, stored_len int, raw_sha256 string, frame binary")
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
     """idx, byte_offset, data: frames back to payloads, each checked against its hash."""
+    schema = pa.schema([("idx", pa.int64()), ("byte_offset", pa.int64()), ("data", pa.binary())])
 
-    def run(batches):
+    def rows(batches):
         codec = pa.Codec("zstd")
         for batch in batches:
-            for row in range(batch.num_rows):
-                idx, start, size, want, frame = (batch.column(i)[row] for i in range(5))
-                data = codec.decompress(frame.as_buffer(), decompressed_size=size.as_py(), asbytes=True)
-                if hashlib.sha256(data).hexdigest() != want.as_py():
+            for idx, start, size, want, frame in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                data = codec.decompress(frame.as_buffer(), decompressed_size=size, asbytes=True)
+                if hashlib.sha256(data).hexdigest() != want:
                     raise ValueError(f"chunk at {start} does not match its hash")
-                yield pa.RecordBatch.from_pydict({"idx": pa.array([idx.as_py()], pa.int64()), "byte_offset": pa.array([start.as_py()], pa.int64()), "data": [data]})
+                yield idx, start, data
 
-    return frames.select("idx", "byte_offset", "raw_len", "raw_sha256", "frame").mapInArrow(run, "idx long, byte_offset long, data binary")
+    return frames.select("idx", "byte_offset", "raw_len", "raw_sha256", "frame").mapInArrow(lambda batches: batched(rows(batches), schema, 2), "idx long, byte_offset long, data binary")
 
 
 def write_container(frames: Iterable[tuple[int, int, str, bytes]], path: str, snapshot_id: str, volume_gib: int, block_size: int, logical_size: int, image_sha256: str) -> dict:

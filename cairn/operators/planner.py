@@ -59,3 +59,17 @@ def preferred_artifact(volumes: DataFrame, files: DataFrame) -> DataFrame:
     there = options.join(files.select("path"), "path", "left_semi")
     best = there.groupBy("image").agg(F.min_by("path", "_rank").alias("artifact"))
     return volumes.join(best, "image", "left")
+
+
+def progress(done: Column, total: Column, nbytes: Column, total_bytes: Column, seconds: Column) -> dict[str, Column]:
+    """percent of blocks, bytes_per_second, and eta_seconds (null before anything is known, and at the end)."""
+    percent = F.when(total > 0, done * 100.0 / total).otherwise(0.0)
+    rate = F.when((nbytes > 0) & (seconds > 0), nbytes / seconds)
+    left = F.when((done > 0) & (done < total) & (nbytes > 0) & (total_bytes > nbytes), seconds / nbytes * (total_bytes - nbytes))
+    return {"percent": percent, "bytes_per_second": rate, "eta_seconds": F.round(left)}
+
+
+def error_hint(error_class: Column, encrypted: Column) -> Column:
+    """What may help, for errors of access; else null."""
+    access = F.lit("listing and reading of the snapshot's blocks must be granted")
+    return F.when(error_class == "denied", F.when(encrypted, F.concat(access, F.lit("; its encryption key must be usable as well"))).otherwise(access))

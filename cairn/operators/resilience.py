@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import random
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from cairn.functions.scalars import CHECKSUM, DENIED_CODES, RETRYABLE, THROTTLE_CODES
 
 MAX_CONCURRENCY, CALM_SECONDS = 32, 15.0
+SLOTS = 4  # of one task
+MARGIN = datetime.timedelta(minutes=2)
 
 
 def adaptive_fold(events: Column, most: int = MAX_CONCURRENCY) -> Column:
@@ -33,15 +38,17 @@ class Limiter:
 
     def __init__(self, most: int = MAX_CONCURRENCY, calm: float = CALM_SECONDS, now: Callable[[], float] = time.monotonic):
         self.most, self.usable, self.calm, self.now = most, most, calm, now
-        self.last = float("-inf")
+        self.last, self.lock = float("-inf"), threading.Lock()
 
     def throttled(self) -> None:
-        self.usable = max(1, self.usable // 2)
-        self.last = self.now()
+        with self.lock:
+            self.usable = max(1, self.usable // 2)
+            self.last = self.now()
 
     def released(self) -> None:
-        if self.usable < self.most and self.now() - self.last > self.calm:
-            self.usable += 1
+        with self.lock:
+            if self.usable < self.most and self.now() - self.last > self.calm:
+                self.usable += 1
 
 
 class SourceError(Exception):
@@ -94,44 +101,90 @@ def checked_block(data: bytes, sha256: str | None) -> bytes:
     return data
 
 
-def fetch_block(source, snapshot_id: str, index: int, token: str, attempts: int = 5, sleep: Callable[[float], None] = time.sleep, on_throttle: Callable[[], None] = lambda: None) -> bytes:
-    """A block's checked bytes. A denied token is renewed once, by listing from the block's index."""
-    held, renewed = token, False
+class Tokens:
+    """The block tokens that a task holds. One is fresh while MARGIN is left before it expires; a page that is listed to renew
+    one renews all that it names."""
 
-    def once() -> bytes:
-        nonlocal held, renewed
-        try:
-            return checked_block(*source.get_block(snapshot_id, index, held))
-        except SourceError as error:
-            if renewed or not is_denied(error):
-                raise
-            renewed = True
-            held = fresh_token(source, snapshot_id, index)
-            return checked_block(*source.get_block(snapshot_id, index, held))
+    def __init__(self, source, snapshot_id: str, attempts: int = 5, sleep: Callable[[float], None] = time.sleep, now: Callable[[], datetime.datetime] | None = None):
+        self.source, self.snapshot_id, self.attempts, self.sleep = source, snapshot_id, attempts, sleep
+        self.now = now or (lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
+        self.held: dict[int, tuple[str, datetime.datetime | None]] = {}
 
-    return retried(once, attempts, sleep, on_throttle)
+    def learn(self, blocks, expiry: datetime.datetime | None) -> None:
+        self.held.update((index, (token, expiry)) for index, token in blocks)
 
+    def forget(self, index: int) -> None:
+        self.held.pop(index, None)
 
-def fresh_token(source, snapshot_id: str, index: int) -> str:
-    for block, token in source.list_page(snapshot_id, start=index).blocks:
-        if block == index:
+    def of(self, index: int) -> str:
+        token, expiry = self.held.get(index, ("", None))
+        if token and (expiry is None or self.now() <= expiry - MARGIN):
             return token
-    raise SourceError("NotFound", f"block {index} is not listed any more")
+        page = retried(lambda: self.source.list_page(self.snapshot_id, start=index), self.attempts, self.sleep)
+        self.learn(page.blocks, page.expiry)
+        if index not in dict(page.blocks):
+            raise SourceError("NotFound", f"block {index} is not listed any more")
+        return self.held[index][0]
+
 
+def fetch_block(source, snapshot_id: str, index: int, token: str, attempts: int = 5, sleep: Callable[[float], None] = time.sleep, on_throttle: Callable[[], None] = lambda: None, tokens: Tokens | None = None) -> bytes:
+    """A block's checked bytes. A stale token is renewed before it is used, a denied one once, and one that has failed twice as
+    well, for the token may be what fails."""
+    if tokens is None:
+        tokens = Tokens(source, snapshot_id, attempts, sleep)
+        tokens.learn([(index, token)], None)
+    failed, denied = 0, False
 
-def fetch(pending: DataFrame, source_maker: Callable[[], object], snapshot_id: str, attempts: int = 5) -> DataFrame:
-    """idx, byte_offset, length, sha256, data of pending blocks (idx, byte_offset, token), fetched in the tasks. Blocks
-    of a snapshot do not change, so a task that runs again gives the same rows."""
+    def once() -> bytes:
+        nonlocal failed, denied
+        while True:
+            try:
+                return checked_block(*source.get_block(snapshot_id, index, tokens.of(index)))
+            except SourceError as error:
+                failed += 1
+                again = is_denied(error) and not denied
+                if again or failed > 1:
+                    tokens.forget(index)
+                if not again:
+                    raise
+                denied = True
+
+    return retried(once, attempts, sleep, on_throttle)
+
+
+def fetch(pending: DataFrame, source_maker: Callable[[], object], snapshot_id: str, attempts: int = 5, slots: int = SLOTS) -> DataFrame:
+    """idx, byte_offset, length, sha256, data of pending blocks (idx, byte_offset, token and, if known, expiry), fetched in
+    the tasks, as many at once as the task's limiter allows. Blocks of a snapshot do not change, so a task that runs again gives the
+    same rows."""
     import pyarrow as pa
 
+    kinds = pa.schema([("idx", pa.int64()), ("byte_offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("data", pa.binary())])
+
     def run(batches):
-        source = source_maker()
-        for batch in batches:
-            for idx, start, token in zip(*(batch.column(c).to_pylist() for c in ("idx", "byte_offset", "token")), strict=True):
-                data = fetch_block(source, snapshot_id, idx, token, attempts)
-                yield pa.RecordBatch.from_pydict({
-                    "idx": pa.array([idx], pa.int64()), "byte_offset": pa.array([start], pa.int64()), "length": pa.array([len(data)], pa.int64()),
-                    "sha256": [base64.b64encode(hashlib.sha256(data).digest()).decode()], "data": [data],
-                })
-
-    return pending.select("idx", "byte_offset", "token").mapInArrow(run, "idx long, byte_offset long, length long, sha256 string, data binary")
+        source, limiter = source_maker(), Limiter(slots)
+        tokens = Tokens(source, snapshot_id, attempts)
+
+        def one(index: int) -> bytes:
+            data = fetch_block(source, snapshot_id, index, "", attempts, on_throttle=limiter.throttled, tokens=tokens)
+            limiter.released()
+            return data
+
+        with ThreadPoolExecutor(slots) as pool:
+            for batch in batches:
+                rows = batch.to_pylist()
+                for r in rows:
+                    tokens.learn([(r["idx"], r["token"])], r["expiry"])
+                at = 0
+                while at < len(rows):
+                    now = rows[at : at + limiter.usable]
+                    at += len(now)
+                    got = list(pool.map(one, [r["idx"] for r in now]))
+                    for r in now:
+                        tokens.forget(r["idx"])
+                    yield pa.RecordBatch.from_pydict({
+                        "idx": [r["idx"] for r in now], "byte_offset": [r["byte_offset"] for r in now], "length": [len(x) for x in got],
+                        "sha256": [base64.b64encode(hashlib.sha256(x).digest()).decode() for x in got], "data": got,
+                    }, schema=kinds)
+
+    expiry = F.to_timestamp_ntz(F.col("expiry").cast("string")) if "expiry" in pending.columns else F.lit(None).cast("timestamp_ntz")
+    return pending.select("idx", "byte_offset", "token", expiry.alias("expiry")).mapInArrow(run, "idx long, byte_offset long, length long, sha256 string, data binary")

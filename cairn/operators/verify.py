@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 
 from cairn.operators.journal import SAMPLE, stride_sample
 
+PUSHED = 1000  # offsets that are written into a filter
+
 
 def compare(manifest: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """key, status: ok, mismatch or missing. manifest: key, want; found: key, got. Digests alone travel."""
@@ -33,4 +35,11 @@ def verify_blocks(manifest: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def verify_sample(manifest: DataFrame, data: DataFrame, n: int = SAMPLE) -> DataFrame:
-    return verify_blocks(stride_sample(manifest, "byte_offset", n), data)
+    """verify_blocks of n manifest blocks at even strides of their index. The sample is at most n rows, so its offsets become
+    a filter of the scan: other payloads are neither read nor hashed."""
+    rows = stride_sample(manifest.select("idx", "byte_offset", "length", "sha256"), "idx", n)
+    if n <= 0 or n > PUSHED:
+        return verify_blocks(rows, data)
+    chosen = rows.collect()
+    rows = manifest.sparkSession.createDataFrame(chosen, manifest.select("idx", "byte_offset", "length", "sha256").schema)
+    return verify_blocks(rows, data.where(F.col("byte_offset").isin([r.byte_offset for r in chosen])))

@@ -10,7 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 BITS = 16
-_bucket, _at = "_bucket", "_border"
+_bucket, _at, _value = "__cairn_bucket", "__cairn_border", "__cairn_value"
 
 
 def _buckets(df: DataFrame, index: str, bits: int) -> DataFrame:
@@ -57,10 +57,10 @@ def ordinal(df: DataFrame, index: str, out: str = "ordinal", then: tuple[str, ..
 
 def sum_before(df: DataFrame, index: str, value: Column, out: str, then: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
     """df with `out`: the sum of value over all rows before."""
-    rows = _buckets(df, index, bits).withColumn("_value", value)
+    rows = _buckets(df, index, bits).withColumn(_value, value)
     before = Window.orderBy(_bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(_bucket).agg(F.sum("_value").alias("_sum"))
+    sums = rows.groupBy(_bucket).agg(F.sum(_value).alias("_sum"))
     borders = sums.select(_bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(_at))
     within = Window.partitionBy(_bucket).orderBy(index, *then).rowsBetween(Window.unboundedPreceding, -1)
-    got = _bordered(rows, borders).withColumn(out, F.col(_at) + F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return got.drop(_bucket, _at, "_value")
+    got = _bordered(rows, borders).withColumn(out, F.col(_at) + F.coalesce(F.sum(_value).over(within), F.lit(0)))
+    return got.drop(_bucket, _at, _value)

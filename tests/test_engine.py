@@ -203,3 +203,179 @@ def test_fetch_faults():
     with pytest.raises(resilience.SourceError, match="match"):
         resilience.checked_block(b"x", base64.b64encode(bytes(32)).decode())
     assert 0.25 <= resilience.delay(0, False) <= 0.5 and 15 <= resilience.delay(12, True) <= 30
+
+
+def test_tokens_are_renewed_by_pages_before_they_expire():
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    blocks = {i: bytes([i]) * 8 for i in range(20)}
+    source = MemorySource({"s": Snapshot(1, blocks, 8)}, page_size=8, expiry=start + datetime.timedelta(minutes=10))
+    clock = [start]
+    tokens = resilience.Tokens(source, "s", now=lambda: clock[0], sleep=lambda s: None)
+    tokens.learn([(i, f"g0-s-i{i}") for i in range(20)], start + datetime.timedelta(minutes=3))
+    get = lambda i: resilience.fetch_block(source, "s", i, "", tokens=tokens, sleep=lambda s: None)
+    assert get(0) == blocks[0] and source.calls == {"list": 0, "get": 1}
+    clock[0] += datetime.timedelta(minutes=1, seconds=1)  # under two minutes are left
+    assert [get(i) for i in range(8)] == [blocks[i] for i in range(8)] and source.calls["list"] == 1
+    assert [get(i) for i in range(8, 16)] == [blocks[i] for i in range(8, 16)] and source.calls["list"] == 2
+    source.generation, calls = 1, source.calls["get"]  # all tokens are denied; each denied one lists a page
+    assert get(8) == blocks[8] and get(9) == blocks[9] and (source.calls["list"], source.calls["get"]) == (3, calls + 3)
+    with pytest.raises(resilience.SourceError, match="not listed"):
+        get(99)
+    late = resilience.Tokens(source, "s", now=lambda: clock[0])
+    late.learn([(1, "wrong")], None)
+    failing_twice = [resilience.SourceError("InternalError"), resilience.SourceError("InternalError")]
+    source.fail = lambda what, n: failing_twice.pop() if what == "get" and failing_twice else None
+    assert resilience.fetch_block(source, "s", 1, "", tokens=late, sleep=lambda s: None) == blocks[1]
+
+
+def test_waves_resume_and_force_deletes_the_marker_first(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path), NAME, partitions=2, wave=10)
+    own, calls = Engine._fetched, []
+
+    def stops(self, pending, snapshot):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return own(self, pending, snapshot)
+
+    monkeypatch.setattr(Engine, "_fetched", stops)
+    with pytest.raises(RuntimeError):
+        engine.ingest("a")
+    kept = engine.table("a", "data").count()
+    again = engine.ingest("a")
+    want = image_hash(test_source().snapshots["a"])
+    assert 0 < kept < 40 and (again.resumed, again.new_blocks, again.image_sha256) == (kept, 40 - kept, want)
+    calls[:] = [1, 1]
+    with pytest.raises(RuntimeError):
+        engine.ingest("a", force=True)
+    assert not engine._there("a", "geometry") and engine._done("a") is None
+    assert engine.ingest("a").image_sha256 == want
+
+
+def test_paranoid_resumption_fetches_wrong_blocks_again(spark, tmp_path):
+    import shutil
+
+    import pyspark.sql.functions as F
+
+    engine = Engine(spark, str(tmp_path), NAME, partitions=2)
+    whole = engine.ingest("a")
+    shutil.rmtree(tmp_path / "a" / "geometry")
+    first = engine.table("a", "data").agg(F.min("idx")).first()[0]
+    engine._replace("a", "data", engine.table("a", "data").withColumn("data", F.when(F.col("idx") == first, F.lit(b"x" * SIZE)).otherwise(F.col("data"))))
+    again = engine.ingest("a", paranoid=True)
+    assert (again.new_blocks, again.resumed, again.image_sha256) == (1, 39, whole.image_sha256)
+    (tmp_path / "a" / "data").rename(tmp_path / "a" / "data-next")  # as if a replacement stopped half way
+    shutil.rmtree(tmp_path / "a" / "geometry")
+    assert engine.ingest("a").new_blocks == 0
+
+
+def test_sync_goes_on_and_wants_a_usable_base(spark, tmp_path, monkeypatch):
+    import pyspark.sql.functions as F
+
+    engine = Engine(spark, str(tmp_path), NAME, partitions=2, wave=4)
+    engine.ingest("a")
+    own, calls = Engine._fetched, []
+
+    def stops(self, pending, snapshot):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return own(self, pending, snapshot)
+
+    monkeypatch.setattr(Engine, "_fetched", stops)
+    with pytest.raises(RuntimeError):
+        engine.sync("a", "b")
+    kept = engine.table("b", "fetched").count()
+    b = engine.sync("a", "b")
+    assert 0 < kept < 9 and b.image_sha256 == image_hash(test_source().snapshots["b"]) and (b.new_blocks, b.zeroed, b.resumed) == (9, 3, 32)
+    assert not engine._there("b", "fetched")
+    engine._drop("b", "geometry", "data", "manifest")
+    engine._replace("a", "manifest", engine.table("a", "manifest").withColumn("sha256", F.lit("")))
+    with pytest.raises(ValueError, match="without a checksum"):
+        engine.sync("a", "b")
+
+
+def test_sample_reads_only_its_blocks(spark, engine):
+    from cairn.operators import verify
+
+    engine.ingest("a")
+    rows = verify.verify_sample(engine.table("a", "manifest"), engine.table("a", "data"), 8)
+    assert rows.count() == 8 and {r.status for r in rows.collect()} == {"ok"}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "In(byte_offset" in plan
+
+
+def test_images_and_their_folders_are_verified(spark, tmp_path):
+    from cairn.operators import listing
+    from cairn.sources import artifacts, manifests
+
+    engine = Engine(spark, str(tmp_path / "t"), NAME, partitions=2)
+    images = spark.createDataFrame([("i1", "/dev/xvda", [("/dev/xvda", "a"), ("/dev/sdb", "b"), ("/dev/sdc", None)])], listing.IMAGES)
+    report = engine.ingest_image(images, "i1").orderBy("ordinal").collect()
+    assert [(r.snapshot_id, r.file, r.image_sha256) for r in report] == [(n, f, image_hash(test_source().snapshots[n])) for n, f in (("a", "xvda.img"), ("b", "sdb.img"))]
+    assert engine.ingest_image(images, "i1", root_only=True).count() == 1
+    with pytest.raises(ValueError, match="no volume"):
+        engine.ingest_image(images, "i2")
+    folder = str(tmp_path / "out")
+    paths = artifacts.output_paths("i1", folder, [r.file for r in report])
+    for r, path in zip(report, paths, strict=True):
+        engine.export_image(r.snapshot_id, path["image"])
+        g = engine.table(r.snapshot_id, "geometry").first()
+        header = {"snapshotId": r.snapshot_id, "volumeSizeGiB": g.volume_gib, "blockSize": g.block_size, "logicalSize": g.logical_size, "imageSha256": g.image_sha256}
+        manifests.write(spark, header, engine.table(r.snapshot_id, "manifest"), path["manifest"])
+    artifacts.write_group(listing.image_volumes(images), "i1", folder)
+    assert [x["blocks"] for x in artifacts.verify(spark, folder)] == [40, 41]
+    import os
+
+    archive = paths[0]["image"] + ".zst"
+    containers.compress_image(paths[0]["image"], archive)
+    os.unlink(paths[0]["image"])
+    engine.export_container("b", paths[1]["image"] + ".szc")
+    found = artifacts.verify(spark, folder)
+    assert [x["path"].rsplit("/", 1)[1] for x in found] == ["xvda.img.zst", "sdb.img.szc"] and found[0]["image_sha256"] == report[0].image_sha256
+    with open(paths[1]["image"], "r+b") as f:
+        f.seek(min(test_source().snapshots["b"].blocks) * SIZE)
+        f.write(b"??")
+    with pytest.raises(ValueError, match="do not match"):
+        artifacts.verify(spark, paths[1]["image"])
+    with pytest.raises(ValueError, match="is no"):
+        artifacts.verify(spark, paths[1]["manifest"])
+    os.unlink(archive)
+    with pytest.raises(ValueError, match="nothing of"):
+        artifacts.verify(spark, folder)
+
+
+def test_paths_and_options(tmp_path):
+    from cairn.sources import artifacts
+
+    assert artifacts.output_paths("s", str(tmp_path)) == [{"image": f"{tmp_path}/s.img", "manifest": f"{tmp_path}/s.manifest.json"}]
+    assert artifacts.output_paths("s", f"{tmp_path}/x.img")[0]["manifest"] == f"{tmp_path}/x.manifest.json"
+    assert artifacts.manifest_of("/a/b.img.zst") == "/a/b.manifest.json" and artifacts.manifest_of("/a/b") == "/a/b.manifest.json"
+    artifacts.checked_options(level=19, keep_raw=True)
+    for bad in ({"level": 0}, {"level": 20}, {"keep_raw": True, "compress": False}, {"stream": True, "base": "m"}, {"stream": True, "keep_raw": True}, {"stream": True, "compress": False}):
+        with pytest.raises(ValueError, match="level|raw|stream"):
+            artifacts.checked_options(**bad)
+
+
+def test_journal_writer(spark, tmp_path):
+    from cairn.operators import journal
+
+    path = str(tmp_path / "j")
+    w = journal.Writer(path, "s", 5, "base")
+    w.record(1, 8, "x")
+    w.record(2, 8, "y")
+    assert len((tmp_path / "j").read_bytes().splitlines()) == 1  # nothing is durable before the checkpoint
+    w.checkpoint()
+    w.clear(1)
+    w.close()
+    with open(path, "ab") as f:
+        f.write(b'{"o":3,"le')  # torn
+    w = journal.Writer(path, "s", 5, "base")
+    w.record(4, 8, "z")
+    w.close()
+    rows = journal.replayed(journal.read(spark, path, "s", 5, "base")).collect()
+    assert sorted((r.o, r.sha) for r in rows) == [(2, "y"), (4, "z")]
+    with pytest.raises(journal.JournalMismatch):
+        journal.read(spark, path, "s", 5)
