@@ -208,21 +208,25 @@ def page_of_document(doc_id, text, source):
     return F.concat(F.lit("<article>"), figure(source, "source", F.concat(F.lit("source "), escaped(source))), paragraph(first), figure(text, "payload", named), paragraph(rest), F.lit("</article>"))
 
 
-def document_sequences(docs: DataFrame) -> DataFrame:
+def document_sequences(docs: DataFrame, digests: bool = False) -> DataFrame:
     """doc_id, sequence: every document as a page with its text around two references, resolved. The last reference is the
-    document's own payload."""
+    document's own payload. digests: structs have text_chars and text_crc32 in place of text, which then stays where it is parsed."""
     texts = docs.select("text").union(docs.groupBy("source").count().select("source"))
     store = stored(media_store(texts), "media")
     media = stored(one_of_each(media_features(store)), "features")
     discard(store)
     pages = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), page_of_document(F.col("doc_id"), F.col("text"), F.col("source")).alias("html"))
-    parts = stored(sequences(pages, "row", "html", ("doc_id",)), "parts")  # a row keeps its number once it is stored
+    parts = sequences(pages, "row", "html", ("doc_id",))
+    if digests:
+        told = F.char_length("text").cast("long").alias("text_chars"), F.crc32("text").alias("text_crc32")
+        parts = parts.select("id", "position", "kind", *told, "digest", "caption", "doc_id")
+    parts = stored(parts, "parts")  # a row keeps its number once it is stored
     return assembled(parts, media, ("doc_id",)).select("doc_id", "sequence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's sequence, and what the store says of the payload that its last reference names."""
+    """Every document's sequence, its texts as digests, and what the store says of the payload that its last reference names."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    rows = document_sequences(documents(spark, sf_dir))
+    rows = document_sequences(documents(spark, sf_dir), digests=True)
     own = F.element_at(F.filter("sequence", lambda part: part["kind"] == "media"), -1)
     return rows.select("doc_id", *(own[n].alias(n) for n in names), "sequence")

@@ -57,8 +57,11 @@ def check(rows, texts, sources):
         assert first.caption == " ".join(f"source {source}".split()) and second.caption == f"document {r.doc_id}"
         assert (second.digest, second.media_sha256) == (hashlib.sha256(raw).hexdigest(), r.media_sha256)
         parts = [p for p in r.sequence if p.kind == "text"]
-        assert " ".join(p.text for p in parts) == " ".join(raw.decode().split())
-        assert all(p.digest is None and p.media_bytes is None for p in parts)
+        whole, at = " ".join(raw.decode().split()), 0
+        for p in parts:
+            assert zlib.crc32(whole[at : at + p.text_chars].encode()) == p.text_crc32
+            at += p.text_chars + 1
+        assert at == len(whole) + (len(parts) > 0) and all(p.digest is None and p.media_bytes is None for p in parts)
         if len(raw.split()) > 40:
             assert [p.kind for p in r.sequence] == ["media", "text", "media", "text"]
 
@@ -69,6 +72,13 @@ def test_query_on_odd_texts(spark, docs, tmp_path):
     check(il.query(spark, str(tmp_path)).collect(), dict(enumerate(texts)), dict.fromkeys(range(len(texts)), "s"))
 
 
+def test_sequences_with_texts(spark, docs):
+    texts = [None, "one", "a <b> & c " * 30, "\n\t two  words \u00a0 more\r\n"]
+    rows = {r.doc_id: r.sequence for r in il.document_sequences(docs(texts)).collect()}
+    assert all(" ".join(p.text for p in rows[i] if p.kind == "text") == " ".join((t or "").split()) for i, t in enumerate(texts))
+    assert [p.kind for p in rows[2]] == ["media", "text", "media", "text"] and rows[2][2].caption == "document 2"
+
+
 def test_query_on_null_sources_repeated_ids_and_no_rows(spark, docs, tmp_path):
     rows = docs(["a", "b"]).withColumn("source", F.lit(None).cast("string")).unionByName(docs(["c"])).selectExpr("nullif(doc_id, 1) AS doc_id", "text", "source")
     rows.write.parquet(str(tmp_path / "documents.parquet"))
