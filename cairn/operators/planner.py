@@ -46,8 +46,9 @@ def state_of(state: Column) -> Column:
 def readiness(states: DataFrame) -> DataFrame:
     """One row: ready, pending and failed (comma-separated ids, failed ones with state and message)."""
     kind = state_of(F.col("state"))
-    joined = lambda which, text: F.array_join(F.array_sort(F.collect_list(F.when(kind == which, text))), ", ")
     name = F.col("snapshot_id")
+    listed = lambda which, text: F.array_sort(F.collect_list(F.when(kind == which, F.struct(name.alias("id"), text.alias("said")))))
+    joined = lambda which, text: F.array_join(F.transform(listed(which, text), lambda x: x["said"]), ", ")
     said = F.when(F.col("message").isNull(), "").otherwise(F.concat(F.lit(" ("), F.col("message"), F.lit(")")))
     with_message = F.concat(name, F.lit(": "), F.col("state"), said)
     return states.agg((F.count(F.when(kind != "ready", 1)) == 0).alias("ready"), joined("pending", name).alias("pending"), joined("failed", with_message).alias("failed"))
