@@ -19,8 +19,8 @@ them). Documents without repeats have no row.
 
 Cases: null and empty texts, and those of fewer than LEAST words, have no repeats; a copy loses all its words; a run of few
 different shingles (a line again and again) is a repeat only if the other document has the same words in a row;
-repeats within one document stay; rows that share a doc_id count as one document; rows with a null doc_id stay as they
-are; ties go to the lower doc_id; an empty table gives an empty table; other columns are not read by `repeats` and kept by
+repeats within one document stay; very long texts are read whole; rows that share a doc_id count as one document, of the least
+text, and rows with another text stay as they are, as do rows with a null doc_id; ties go to the lower doc_id; an empty table gives an empty table; other columns are not read by `repeats` and kept by
 `without_repeats`.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import components, discard, documents, slices, stored
+from cairn.llm.common import components, discard, documents, one_text_each, slices, stored
 from cairn.llm.lsh_forest import texts_of
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
@@ -229,6 +229,7 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
     """doc_id, class_id, links, removed_words, spans, text, text_hash (of the text before)."""
     if least < WINDOW + PARAGRAPH:
         raise ValueError(f"passages below {WINDOW + PARAGRAPH} words need not hold a paragraph")
+    docs = one_text_each(docs)
     shared = bands(docs).groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other < most").select("key", "other")
     # the shared keys are the smaller side: hashing them spares sorting all paragraphs, and Spark splits hot keys
     members = stored(bands(docs).join(shared.hint("SHUFFLE_HASH"), "key").where("id > other").select("key", "id", "other"), "members")

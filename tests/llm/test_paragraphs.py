@@ -97,6 +97,17 @@ def test_a_fragment_in_a_lower_document_hides_no_passage(spark, docs):
         assert 3 * k not in got and got[3 * k + 1].removed_words == 0 and not has(got[3 * k + 2].text, p)
 
 
+def test_null_and_repeated_ids(spark, docs):
+    p = words(60)
+    texts = [" ".join(words(9) + p), " ".join(words(9) + p), " ".join(words(20))]
+    table = docs(texts).unionByName(docs(texts[:2])).unionByName(docs(["zz other text"] * 3).where("doc_id = 1"))
+    table = table.unionByName(docs(texts).selectExpr("CAST(NULL AS long) AS doc_id", "text", "lang", "source", "n_chars", "key"))
+    (row,) = (r for r in pd.repeats(table).collect() if r.removed_words)
+    assert row.doc_id == 1 and row.removed_words == 60
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, len(r.text.split())) for r in pd.without_repeats(table).collect())
+    assert kept == [(-1, 20), (-1, 69), (-1, 69), (0, 69), (0, 69), (1, 3), (1, 9), (1, 9), (2, 20)]
+
+
 def test_passages_within_one_document_and_short_ones_stay(spark, docs):
     p, q = words(60), words(45)
     texts = [" ".join(p + words(3) + p), " ".join(q + words(30)), " ".join(words(30) + q)]
