@@ -3,6 +3,12 @@
 language_id drops documents without a known language and sets `lang`; near_duplicates keeps one document of each class
 of texts whose five-word shingles reach a Jaccard similarity of 0.8; repeated_passages removes passages of 50 words or
 more that a document before holds; private_data replaces personal data by pseudonyms; packing fills sequences.
+
+Cases, by stage. Null and empty texts, and texts without a letter, have no language and go with language_id. Very long texts are
+read whole by every stage. Rows that share a doc_id are judged each by language_id; near_duplicates keeps one of them, with
+the least text; rows without a doc_id are kept by near_duplicates and repeated_passages as they are, pseudonymised and packed.
+Copies and ties: the lower doc_id stays. repeated_passages drops documents that lose all their words. Other columns, whatever
+their names, are kept by all stages but the last. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -379,3 +379,67 @@ def test_journal_writer(spark, tmp_path):
     assert sorted((r.o, r.sha) for r in rows) == [(2, "y"), (4, "z")]
     with pytest.raises(journal.JournalMismatch):
         journal.read(spark, path, "s", 5)
+
+
+class FakeClient:
+    """The remote API over a source in memory; page sizes above 5 are rejected."""
+
+    def __init__(self, source, most=5):
+        self.source, self.most, self.sizes = source, most, []
+
+    class Error(Exception):
+        def __init__(self, code, message):
+            self.response = {"Error": {"Code": code, "Message": message}}
+
+    def _said(self, page, name, entries):
+        import datetime
+
+        expiry = datetime.datetime(2024, 1, 1, 2, tzinfo=datetime.timezone(datetime.timedelta(hours=2)))
+        said = {name: entries, "VolumeSize": page.volume_gib, "BlockSize": page.block_size, "ExpiryTime": expiry}
+        return said | ({"NextToken": page.next_token} if page.next_token else {})
+
+    def _checked(self, size):
+        self.sizes.append(size)
+        if size and size > self.most:
+            raise self.Error("ValidationException", "MaxResults is too large")
+
+    def list_snapshot_blocks(self, SnapshotId, NextToken=None, StartingBlockIndex=0, MaxResults=None):  # noqa: N803
+        self._checked(MaxResults)
+        page = self.source.list_page(SnapshotId, NextToken, StartingBlockIndex, MaxResults)
+        return self._said(page, "Blocks", [{"BlockIndex": i, "BlockToken": t} for i, t in page.blocks])
+
+    def list_changed_blocks(self, FirstSnapshotId, SecondSnapshotId, NextToken=None, StartingBlockIndex=0, MaxResults=None):  # noqa: N803
+        self._checked(MaxResults)
+        page = self.source.list_changed_page(FirstSnapshotId, SecondSnapshotId, NextToken, StartingBlockIndex, MaxResults)
+        return self._said(page, "ChangedBlocks", [{"BlockIndex": i, "FirstBlockToken": "x"} | ({"SecondBlockToken": t} if t else {}) for i, t in page.blocks])
+
+    def get_snapshot_block(self, SnapshotId, BlockIndex, BlockToken):  # noqa: N803
+        import io
+
+        try:
+            data, checksum = self.source.get_block(SnapshotId, BlockIndex, BlockToken)
+        except resilience.SourceError as error:
+            raise self.Error(error.code, "") from error
+        return {"BlockData": io.BytesIO(data), "Checksum": checksum, "ChecksumAlgorithm": "SHA256"}
+
+
+def test_remote_source():
+    import datetime
+
+    from cairn.sources import remote
+
+    memory = test_source()
+    client = FakeClient(memory)
+    source = remote.ServiceSource(client)
+    page = source.list_page("a")
+    assert client.sizes == [10_000, None] and len(page.blocks) == 7 and page.expiry == datetime.datetime(2024, 1, 1) and (page.volume_gib, page.block_size) == (1, SIZE)
+    assert list(_all(source, "a")) == list(_all(memory, "a")) and set(client.sizes[2:]) == {None}
+    changed = source.list_changed_page("a", "b")
+    assert changed.blocks == memory.list_changed_page("a", "b").blocks
+    index, token = page.blocks[0]
+    assert resilience.fetch_block(source, "a", index, token) == memory.snapshots["a"].blocks[index]
+    assert resilience.fetch_block(source, "a", index, "old", sleep=lambda s: None) == memory.snapshots["a"].blocks[index]
+    with pytest.raises(resilience.SourceError, match="AccessDenied"):
+        source.get_block("a", index, "old")
+    assert [s for s in remote.ServiceSource(client, 5).list_page("a").blocks] == page.blocks[:5]
+    assert resilience.is_retryable(remote.typed(ConnectionError("gone")))
