@@ -3,7 +3,7 @@
 A document's label is its shard; documents with equal texts are linked. The first label is by chance. The documents of a
 group that begin in one shard are a cell and move together, so a hot group has at most one row for each shard. Each round
 counts the labels of every group and names the group's target: its most frequent label, and in every other round the
-most frequent one among shards with room, since a full shard takes only as much as leaves it. What cells want to move is summed by pairs
+most frequent one among shards with room, if it can one in which it fits whole, since a full shard takes only as much as leaves it. What cells want to move is summed by pairs
 of shards, as much of it is admitted as room and departures of the same round allow, and cells fill these quotas by
 running sums over salts, so no task ranks a whole shard. Rounds end when they no longer bring linked documents together. At the end
 shards are made even exactly: each keeps its quota, linked documents before single ones, and what is over goes to the
@@ -59,6 +59,15 @@ def admitted(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[
     return moves
 
 
+def chosen(room: list[int], r: int):
+    """A unit's target: its most frequent label; in odd rounds among shards with room, where it fits whole if it can."""
+    rooms = F.array(*(F.lit(x).cast("long") for x in room))
+    odd = F.lit(r % 2 == 1)
+    free = lambda x: rooms[x["shard"]]
+    rank = lambda x: F.struct((odd & (free(x) + x["n"] >= F.col("total"))).alias("fits"), x["n"].alias("n"), F.xxhash64(F.lit(r), "unit", x["shard"]).alias("tie"), x["shard"].alias("shard"))
+    return F.array_max(F.transform(F.filter("labels", lambda x: ~odd | (free(x) > 0) | (x["n"] == F.col("total"))), rank))["shard"]
+
+
 def propagate(cells: DataFrame, quota: list[int]) -> DataFrame:
     """Stored cells (unit, first, shard, n) with the shards that the rounds lead to."""
     shards, scattered, idle, r = len(quota), None, 0, 0
@@ -69,13 +78,13 @@ def propagate(cells: DataFrame, quota: list[int]) -> DataFrame:
         apart = labels.groupBy("unit").agg((F.sum("n") - F.max("n")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         idle = idle + 1 if scattered is not None and apart > scattered * (1 - GAIN) else 0
         scattered = apart if scattered is None else min(apart, scattered)
-        if not apart or idle == 2:
+        if not apart or idle == 4:
             discard(labels)
             return cells
         room = [q - load.get(s, 0) for s, q in enumerate(quota)]
-        open_to = F.array(*(F.lit(x > 0 or r % 2 == 0) for x in room))[F.col("shard")]
-        best = F.max_by("shard", F.struct("n", F.xxhash64(F.lit(r), "unit", "shard")))
-        target = stored(labels.where(open_to).groupBy("unit").agg(best.alias("target")), "targets")
+        # a unit's labels: one entry for each shard at most
+        units = labels.groupBy("unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("n", "shard")).alias("labels"))
+        target = stored(units.select("unit", chosen(room, r).alias("target")).where("target IS NOT NULL"), "targets")
         wanted = stored(cells.join(target, "unit").where("shard <> target"), "wanted")
         asked = wanted.groupBy("shard", "target").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()  # a row for each two shards
         moves = admitted({(x.shard, x.target): x.n for x in asked}, room)
