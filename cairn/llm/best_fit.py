@@ -167,7 +167,9 @@ def pack(docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, end
     held = PIECE + ", ids binary" * with_ids
     schema = held + ", sequence_id long, offset long"
     names = [f.split()[0] for f in schema.split(", ")]
-    end, fast = end_id.to_bytes(4, "little"), same_ids(path, pattern)
+    seen = lambda batches: (pa.RecordBatch.from_pydict({"same": [same_ids(path, pattern)]}) for _ in batches)
+    fast = docs.sparkSession.range(1, numPartitions=1).mapInArrow(seen, "same boolean").first().same  # the tables stay off the driver
+    end = end_id.to_bytes(4, "little")
 
     def batch_of(rows, opened: bool | None):
         kinds = arrow_schema(schema)

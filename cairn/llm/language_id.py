@@ -17,10 +17,12 @@ a row each; other columns are not read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -144,10 +146,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, families: list[list[str]] | None
         kept = [(d, lang, features(t).astype(np.float16).tobytes()) for d, lang, t in zip(columns["doc_id"], columns["lang"], columns["text"], strict=True) if LETTER.search(t)]
         return {n: [row[i] for row in kept] for i, n in enumerate(("doc_id", "lang", "x"))}
 
-    rows = arrow_map(chosen, lambda: step, "doc_id long, lang string, x binary", ["doc_id", "lang", "x"]).toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["lang"][i].as_py(), rows["doc_id"][i].as_py() or 0))
-    x = np.stack([np.frombuffer(rows["x"][i].as_py(), np.float16) for i in order]).astype(np.float32) if order else np.zeros((0, FEATURES))
-    return learn(x, [rows["lang"][i].as_py() for i in order], families)
+    def taught(batches):
+        rows = sorted((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "x")), strict=True)), key=lambda r: (r[0], r[1] or 0, r[2]))
+        x = np.stack([np.frombuffer(row[2], np.float16) for row in rows]).astype(np.float32) if rows else np.zeros((0, FEATURES))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(learn(x, [row[0] for row in rows], families))]})
+
+    # at most `sample` rows, in one task: the driver gets the model alone
+    features_of = arrow_map(chosen, lambda: step, "doc_id long, lang string, x binary", ["doc_id", "lang", "x"])
+    return pickle.loads(bytes(features_of.repartition(1).mapInArrow(taught, "model binary").first().model))
 
 
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
@@ -162,8 +168,6 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Hierarchy, least: float = 0.0) -> DataFrame:
     """The documents whose language is known with a score above `least`, with the prediction in `lang`."""
-    import pyarrow as pa
-
     def run(batches):
         for batch in slices(batches):
             at = batch.schema.get_field_index("lang")
