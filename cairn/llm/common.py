@@ -137,7 +137,6 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
 
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: F401
 
     return to_arrow_schema(_ddl(ddl))
 
