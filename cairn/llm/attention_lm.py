@@ -14,10 +14,9 @@ whole training corpus by absolute discounting: (1 - MIX) * max(c - d, 0) / N + (
 d = n1 / (n1 + 2 * n2) of the words that stand once and twice. So what the model knows grows with the corpus.
 
 Training, by Adam with the gradients written out below, has two parts. A start is trained on whole documents, chosen by a
-hash, of START_SPANS spans of SPAN targets at most. Then every training document gives spans, one for each EVERY bytes (one at
-least), spread over its whole text, and in each of ROUNDS rounds tasks train from the same parameters, each on its own
-spans, and the parameters that they reach are averaged. So the work grows with the corpus, and the steps one after the
-other do not.
+hash, of START_SPANS spans of SPAN targets at most. Then every subword of every training document is a target of one span, and
+in each of ROUNDS rounds, which share the spans, tasks train from the same parameters, each on its own spans once, and the
+parameters that they reach are averaged. So the work grows with the corpus, and the steps one after the other do not.
 
 Counts of words cover all training documents; those of at most FREQUENT words go to every task, all others are joined by
 word, so the table's size is bounded and no word is dropped.
@@ -410,30 +409,20 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
 
 
 def spans_of(text: str | None) -> list[tuple[bytes, bool, bool]]:
-    """Parts of a text that train the model, whether each begins and whether it ends the text: one for each EVERY bytes, one
-    at least, each at a place in its stretch that a hash of the text chooses, from one blank to another."""
+    """A text in parts, all of it, one for each EVERY bytes and one at least, that end at blanks; whether each begins and whether
+    it ends the text."""
     raw = (text or "").encode().lower()  # bytes.lower knows ASCII letters alone
-    room, out = 3 * (SPAN + CONTEXT), []
-    n = max(1, len(raw) // EVERY)
-    for i in range(n):
-        low, high = i * len(raw) // n, (i + 1) * len(raw) // n
-        at = low + xxhash.xxh64_intdigest(raw, i) % max(1, high - low) if len(raw) > EVERY // 2 else 0
-        if at < EVERY // 8:
-            at = 0
-        elif at > len(raw) - EVERY // 8:
-            at = max(0, len(raw) - room)
-        if at:
-            blank = BLANK.search(raw, at)
-            at = blank.end() if blank else at
-        blank = BLANK.search(raw, at + room)
-        end = blank.start() if blank else len(raw)
-        out.append((raw[at:end], at == 0, end == len(raw)))
-    return out
+    n, ends = max(1, len(raw) // EVERY), [0]
+    for i in range(1, n):
+        blank = BLANK.search(raw, max(ends[-1], i * len(raw) // n))
+        ends.append(blank.start() if blank else len(raw))
+    ends.append(len(raw))
+    return [(raw[a:b], i == 0, i == n - 1) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
 
 
 def training_spans(docs: DataFrame, slot: np.ndarray, path: str, pattern: str, whole: bool = False) -> DataFrame:
-    """slots (CONTEXT + 1 + SPAN of 16 bits), place (a hash of them and the id, so that copies are apart), of documents: of parts of
-    them, or of all they have."""
+    """slots (CONTEXT + 1 + SPAN of 16 bits), place (a hash of them and the id, so that copies are apart), of documents. Every
+    subword is the target of one span: spans follow each other from the start of the text (whole), or of each of its parts."""
     width = CONTEXT + 1 + SPAN
     shared = docs.sparkSession.sparkContext.broadcast(slot.astype(np.int16))  # an entry for each subword
 
@@ -445,12 +434,13 @@ def training_spans(docs: DataFrame, slot: np.ndarray, path: str, pattern: str, w
             words = [raw.split() for _, raw, _, _ in parts]
             ids, lengths = coder.of([w for own in words for w in own])
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
-            said, places = [], []
+            said, places, before = [], [], None
             for (seed, _, begins, closes), a, b in zip(parts, ends[:-1], ends[1:], strict=True):
-                own = [np.full((CONTEXT + 1) * begins, START, np.int16), slot[ids[a:b]], slot[-1:][: int(closes)]]
-                own = np.concatenate([*own, np.full(SPAN, NONE, np.int16)])
-                n = len(own) - SPAN - CONTEXT - 1  # targets
-                for i in range(0, max(0, n if whole else min(n, 1)), SPAN):
+                before = np.full(CONTEXT + 1, START, np.int16) if begins else before
+                own = np.concatenate([before, slot[ids[a:b]], slot[-1:][: int(closes)]])
+                before, n = own[-CONTEXT - 1 :], len(own) - CONTEXT - 1  # targets
+                own = np.concatenate([own, np.full(SPAN, NONE, np.int16)])
+                for i in range(0, n, SPAN):
                     said.append(own[i : i + width].tobytes())
                     places.append(xxhash.xxh64_intdigest(said[-1], seed) >> 1)
             yield pa.RecordBatch.from_pydict({"slots": pa.array(said, pa.binary()), "place": pa.array(places, pa.int64())})
@@ -511,9 +501,10 @@ def fit(docs: DataFrame, corpus: Corpus, path: str, pattern: str, steps: int = S
         table = read_spans(start.where(F.col("place") <= below(START_SPANS / max(1, start.count()))).toArrow())
         p = train(p, table, min(steps, -(-EPOCHS * len(table) * (SPAN // SCORED) // BATCH)), (RATE, RATE / 4), 0)
         spans = stored(training_spans(known, slot, path, pattern), "spans")
-        dealt = spans.repartition(-(-spans.count() // SHARE) or 1, "place")
+        tasks = -(-spans.count() // SHARE) or 1
         for part in range(rounds):
-            p = averaged(dealt, p, part, rounds, tuple(RATE / 4 * (1 - x / rounds) for x in (part, part + 1)))
+            own = spans.where(F.pmod("place", F.lit(rounds)) == part)
+            p = averaged(own.repartition(tasks, "place"), p, 0, 1, tuple(RATE / 4 * (1 - x / rounds) for x in (part, part + 1)))
         discard(start, spans)
     return Model(slot, log_shares(counts, slot), p)
 

@@ -133,6 +133,25 @@ def test_all_training_documents_train(spark, docs):
     assert (whole[:, lm.CONTEXT + 1 :] != lm.NONE).sum() == want
 
 
+def test_every_subword_trains_once(spark, docs):
+    """Each is the target of one span, after the subwords that stand before it."""
+    texts = [*TEXTS, " ".join(f"w{i}" for i in range(3000)), "a" * 300 + " " * 6000 + "b", "x" * 9000 + " y", " " * 5000, "é　" * 4000]
+    for text in texts:
+        parts = lm.spans_of(text)
+        assert b"".join(raw for raw, _, _ in parts) == (text or "").encode().lower()
+        assert [w for raw, _, _ in parts for w in raw.split()] == lm.words_of(text)
+        assert [(begins, closes) for _, begins, closes in parts] == [(i == 0, i == len(parts) - 1) for i in range(len(parts))]
+    coder = lm.Subwords(RANKS, P.PATTERN)
+    slot = np.arange(coder.size + 1) % lm.SLOTS
+    spans = lm.read_spans(lm.training_spans(docs(texts), slot, RANKS, P.PATTERN).toArrow())
+    got = Counter(tuple(s[i : i + lm.CONTEXT + 2].tolist()) for s in spans for i in range(lm.SPAN) if s[i + lm.CONTEXT + 1] != lm.NONE)
+    want = Counter()
+    for text in texts:
+        own = [lm.START] * (lm.CONTEXT + 1) + slot[coder.of(lm.words_of(text))[0]].tolist() + [int(slot[-1])]
+        want.update(tuple(own[i : i + lm.CONTEXT + 2]) for i in range(len(own) - lm.CONTEXT - 1))
+    assert got == want
+
+
 def test_averaging_weighs_tasks_by_their_spans(spark, docs):
     slot = np.arange(lm.Subwords(RANKS, P.PATTERN).size + 1) % lm.SLOTS
     spans = lm.training_spans(docs(TEXTS), slot, RANKS, P.PATTERN)
