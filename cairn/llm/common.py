@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows turned into Python objects at once; a batch of Spark's may hold 10,000.
 SLICE = 128
+#: Of the filter of `likely`, a power of two: 4 MB, in words of 64 bits.
+BITS = 1 << 25
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def likely(rows: DataFrame, ids: DataFrame, column: str = "id", bits: int = BITS) -> DataFrame:
+    """rows whose column is in ids (one column), and some others: the more ids, the more. A Bloom filter of a bounded size goes to every
+    task, so rows need no shuffle; a join that follows sheds the others."""
+    place = lambda c: F.xxhash64(F.col(c)).bitwiseAND(F.lit(bits - 1))
+    own, name = "_" * (1 + max(map(len, rows.columns))), ids.columns[0]  # own begins no name of rows
+    words = ids.select(F.shiftright(place(name), 6).alias(f"{own}word"), place(name).alias(f"{own}place"))
+    bit = lambda at: F.expr(f"shiftleft(1L, cast({at} & 63 AS int))")
+    words = words.groupBy(f"{own}word").agg(F.bit_or(bit(f"{own}place")).alias(f"{own}bits"))
+    marked = rows.withColumn(f"{own}place", place(column)).withColumn(f"{own}word", F.shiftright(f"{own}place", 6))
+    return marked.join(F.broadcast(words), f"{own}word").where(bit(f"{own}place").bitwiseAND(F.col(f"{own}bits")) != 0).select(rows.columns)
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame | None:
     """doc_id of more than one row, or None; only ids are read."""
     repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

@@ -36,7 +36,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_map, components, discard, documents, one_row_each, one_text_each, slices, stored
+from cairn.llm.common import arrow_map, components, discard, documents, likely, one_row_each, one_text_each, slices, stored
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, jaccard, shingles, word_hashes
 
 TREES, DEPTH, FIRST, RECALL = 16, 8, 6, 0.9995
@@ -78,8 +78,15 @@ def trie_nodes(trees: int, depth: int, prefix: int):
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the documents in ids (id: distinct). docs: distinct ids."""
-    return docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL").join(ids, "id", "left_semi")
+    """id, text of the documents in ids, and some others. docs: distinct ids."""
+    return likely(docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL"), ids)
+
+
+def with_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """pairs (id, other) with text and text_other; of bodies only what pairs name is shuffled, but for some."""
+    own = likely(bodies.select("id", "text"), pairs.select("id"))
+    others = likely(bodies.select(F.col("id").alias("other"), F.col("text").alias("text_other")), pairs.select("other"), "other")
+    return pairs.join(own, "id").join(others, "other")
 
 
 def candidates(texts: DataFrame, trees: int, depth: int, prefix: int) -> DataFrame:
@@ -91,7 +98,7 @@ def candidates(texts: DataFrame, trees: int, depth: int, prefix: int) -> DataFra
 
 def likeness(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
     """id, other, alike: the exact similarity of pairs (id, other)."""
-    both = pairs.join(bodies.select("id", "text"), "id").join(bodies.select(F.col("id").alias("other"), F.col("text").alias("text_other")), "other")
+    both = with_texts(pairs, bodies)
 
     def run(batches):
         last, last_set = None, None
@@ -112,10 +119,10 @@ def clusters(texts: DataFrame, bodies: DataFrame, threshold: float, trees: int,
     rows = texts.select("id", F.explode(trie_nodes(trees, depth, depth)).alias("node"))
     least = stored(rows.groupBy("node").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("node", "pivot"), "least")
     votes = rows.join(least, "node").where("pivot < id").groupBy("id", "pivot").count()
-    chosen = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("pivot"))).alias("v")).select("id", (-F.col("v.col2")).alias("other"))
+    chosen = stored(votes.groupBy("id").agg(F.max(F.struct("count", -F.col("pivot"))).alias("v")).select("id", (-F.col("v.col2")).alias("other")), "chosen")
     near = likeness(chosen, bodies, words).where(F.col("alike") >= (1 + threshold) / 2).select("id", F.col("other").alias("cluster"))
     found = stored(texts.select("id").join(near, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "clusters")
-    discard(least)
+    discard(least, chosen)
     return found
 
 
@@ -144,7 +151,7 @@ def dealt(members: DataFrame, bodies: DataFrame, threshold: float, words: int, b
     blocks = parts.select("node", "alone", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("node", "alone", name(F.col("part")).alias("own"))
     meets = blocks.alias("a").join(blocks.alias("b"), F.expr("a.node = b.node AND a.own <= b.own AND NOT coalesce(a.alone = b.alone, false)"))
     meets = stored(meets.select(F.col("a.node").alias("node"), F.col("a.own").alias("x"), F.col("b.own").alias("y"), F.least("a.alone", "b.alone").alias("id"), F.when(F.expr("a.alone <> b.alone"), F.greatest("a.alone", "b.alone")).alias("other")), "meets")
-    apart = likeness(meets.where("other IS NOT NULL").select("id", "other").distinct(), bodies, words)
+    apart = likeness(stored(meets.where("other IS NOT NULL").select("id", "other").distinct(), "apart"), bodies, words)
     # members are within (1 - threshold) / 2 of their pivots
     far = apart.where(F.col("alike") < 1 - 2 * (1 - threshold) - 1e-9).select("id", "other")
     meets = meets.join(far, ["id", "other"], "left_anti").select("node", "x", "y")

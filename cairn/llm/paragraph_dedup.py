@@ -33,8 +33,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import components, discard, documents, one_text_each, slices, stored
-from cairn.llm.lsh_forest import texts_of
+from cairn.llm.common import components, discard, documents, likely, one_text_each, slices, stored
+from cairn.llm.lsh_forest import texts_of, with_texts
 from cairn.llm.shingles import THRESHOLD, WORDS, MinHash, shingles, word_hashes
 
 LEAST, WINDOW, PARAGRAPH = 50, 24, 26
@@ -143,7 +143,7 @@ def shared_runs(words: np.ndarray, other: np.ndarray, least: int, threshold: flo
 
 def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: float) -> DataFrame:
     """id, other, start, end, n: the characters of id's repeats that the lower document other has, and their words."""
-    both = pairs.join(bodies.select("id", "text"), "id").join(bodies.select(F.col("id").alias("other"), F.col("text").alias("text_other")), "other")
+    both = with_texts(pairs, bodies)
 
     def run(batches):
         last, last_set, last_words = None, None, None
@@ -201,10 +201,11 @@ def more_pairs(members: DataFrame, bodies: DataFrame, spans: DataFrame, least: i
     several = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     keys = members.join(several, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"))
     covered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = stored(passages(keys.join(bodies, "id").join(covered, "id", "left"), least), "passages")
+    keys = stored(keys, "keys")
+    rows = stored(passages(keys.join(covered, "id", "left").join(likely(bodies, keys.select("id")), "id"), least), "passages")
     lowest = rows.groupBy("key").agg(F.min("id").alias("other"), F.max(F.when(F.col("asks"), F.col("id"))).alias("high")).where("other < high")
     found = stored(rows.where("asks").join(lowest.select("key", "other"), "key").where("other < id").select("id", "other").distinct(), "more")
-    discard(rows)
+    discard(rows, keys)
     return found
 
 
@@ -234,17 +235,18 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
     # the shared keys are the smaller side: hashing them spares sorting all paragraphs, and Spark splits hot keys
     members = stored(bands(docs).join(shared.hint("SHUFFLE_HASH"), "key").where("id > other").select("key", "id", "other"), "members")
     pairs = stored(members.select("id", "other").distinct(), "pairs")
-    bodies = stored(texts_of(docs, pairs.select("id").union(pairs.select(F.col("other"))).distinct()), "texts")
+    bodies = stored(texts_of(docs, pairs.select("id").union(pairs.select("other"))), "texts")
     first = stored(found_spans(pairs, bodies, least, threshold), "spans")
     more = more_pairs(members, bodies, first, least)
-    spans = stored(first.union(found_spans(more.join(pairs, ["id", "other"], "left_anti"), bodies, least, threshold)), "spans")
-    discard(members, pairs, first, more)
+    new = stored(more.join(pairs, ["id", "other"], "left_anti"), "new")
+    spans = stored(first.union(found_spans(new, bodies, least, threshold)), "spans")
+    discard(members, pairs, first, more, new)
     linked = spans.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     degree = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
     # a document's spans are no more than its length allows for each document that holds one of its paragraphs
     by_doc = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("other").alias("kept_in")))).alias("spans"))
     classes = components(linked).select(F.col("node").alias("id"), F.col("root").alias("class_id"))
-    rows = classes.join(degree, "id").join(by_doc, "id", "left").join(bodies, "id")
+    rows = classes.join(degree, "id").join(by_doc, "id", "left").join(likely(bodies, classes.select("id")), "id")
 
     def run(batches):
         for batch in slices(batches):

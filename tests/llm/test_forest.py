@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 import pyspark.sql.functions as F
+import pytest
 
-from cairn.llm import lsh_forest
+from cairn.llm import common, lsh_forest
 from cairn.llm.common import components
 
 
@@ -164,3 +165,13 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in list(root)}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12, common.BITS])
+def test_likely_rows_lose_none_and_texts_are_not_shuffled(spark, docs, bits):
+    rows = docs([f"text {i}" for i in range(2000)] + [None])
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 9)] * 2, "other long")
+    got = [r.doc_id for r in common.likely(rows, ids, "doc_id", bits).collect()]
+    assert len(set(got)) == len(got) and set(range(0, 2000, 9)) <= set(got) and (bits == 64 or len(got) < 400)
+    plan = lsh_forest.texts_of(rows, ids)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(id" in line or "SortMergeJoin" in line]
