@@ -31,6 +31,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import components, discard, documents, likely, one_text_each, slices, stored
@@ -108,6 +109,23 @@ def bands(docs: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, id long")
 
 
+def packed(bodies: DataFrame) -> DataFrame:
+    """id, text (compressed: texts are shuffled several times, and this halves them), text_hash."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            texts = [None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "text": pa.array(texts, pa.binary()), "text_hash": batch.column("text_hash")})
+
+    return bodies.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "id long, text binary, text_hash long")
+
+
+def unpacked(texts: pa.Array) -> list[str | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else unpack(t).decode() for t in texts.to_pylist()]
+
+
 def in_a_row(words: np.ndarray, other: np.ndarray) -> bool:
     """Whether other has the words in a row."""
     raw, part, at = other.tobytes(), words.tobytes(), -1
@@ -149,9 +167,10 @@ def found_spans(pairs: DataFrame, bodies: DataFrame, least: int, threshold: floa
         last, last_set, last_words = None, None, None
         for batch in slices(batches):
             out: dict = {n: [] for n in ("id", "other", "start", "end", "n")}
-            for i, j, text, text_other in zip(*(batch.column(c).to_pylist() for c in ("id", "other", "text", "text_other")), strict=True):
+            texts = unpacked(batch.column("text"))
+            for i, j, text, packed_other in zip(batch.column("id").to_pylist(), batch.column("other").to_pylist(), texts, batch.column("text_other"), strict=True):
                 if j != last:  # a document that holds what many repeat comes many times in a row
-                    last, last_words = j, word_hashes(text_other)
+                    last, last_words = j, word_hashes(unpacked(pa.array([packed_other.as_py()]))[0])
                     last_set = np.unique(shingles(last_words))
                 if runs := shared_runs(word_hashes(text), last_set, least, threshold, last_words):
                     places = [m.span() for m in WORD.finditer(text)]
@@ -172,7 +191,7 @@ def passages(about: DataFrame, least: int, count: int = BANDS, rows: int = ROWS)
         paragraph_hash, passage_hash = MinHash(count * rows, 7), MinHash(count * rows, 11)
         for batch in slices(batches):
             out: list = []
-            for i, text, keys, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "keys", "spans")), strict=True):
+            for i, text, keys, spans in zip(batch.column("id").to_pylist(), unpacked(batch.column("text")), batch.column("keys").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = word_hashes(text)
                 at, found = paragraph_keys(words, paragraph_hash, rows=rows)
                 at = at[np.isin(found, np.array(keys, np.int64)).any(0)]
@@ -235,7 +254,7 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
     # the shared keys are the smaller side: hashing them spares sorting all paragraphs, and Spark splits hot keys
     members = stored(bands(docs).join(shared.hint("SHUFFLE_HASH"), "key").where("id > other").select("key", "id", "other"), "members")
     pairs = stored(members.select("id", "other").distinct(), "pairs")
-    bodies = stored(texts_of(docs, pairs.select("id").union(pairs.select("other"))), "texts")
+    bodies = stored(packed(texts_of(docs, pairs.select("id").union(pairs.select("other")))), "texts")
     first = stored(found_spans(pairs, bodies, least, threshold), "spans")
     more = more_pairs(members, bodies, first, least)
     new = stored(more.join(pairs, ["id", "other"], "left_anti"), "new")
@@ -251,14 +270,14 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -
     def run(batches):
         for batch in slices(batches):
             ends = batch.column("spans").to_pylist()
-            done = [cut(t, [(s["start"], s["end"]) for s in x or []]) for t, x in zip(batch.column("text").to_pylist(), ends, strict=True)]
+            done = [cut(t, [(s["start"], s["end"]) for s in x or []]) for t, x in zip(unpacked(batch.column("text")), ends, strict=True)]
             new = {n: batch.column(n) for n in batch.schema.names}
             new["text"] = pa.array([t for t, _ in done], pa.string())
             new["removed_words"] = pa.array([n for _, n in done], pa.int64())
             yield pa.RecordBatch.from_pydict(new)
 
-    rows = rows.select("id", "class_id", "links", "spans", "text", F.xxhash64("text").alias("text_hash"), F.lit(0).cast("long").alias("removed_words"))
-    cleaned = rows.mapInArrow(run, rows.schema)
+    rows = rows.select("id", "class_id", "links", "spans", "text", "text_hash", F.lit(0).cast("long").alias("removed_words"))
+    cleaned = rows.mapInArrow(run, rows.withColumn("text", F.col("text").cast("string")).schema)
     return cleaned.select(F.col("id").alias("doc_id"), "class_id", "links", "removed_words", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,kept_in:bigint>>")).alias("spans"), "text", "text_hash")
 
 

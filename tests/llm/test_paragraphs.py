@@ -182,3 +182,14 @@ def test_hashes_of_words_and_blocks(monkeypatch):
     assert all(whole[i] == word_hashes(w)[0] for i, w in enumerate(words))
     monkeypatch.setattr(shingles, "BLOCK", 16)
     assert (word_hashes(text) == whole).all() and len(word_hashes(" \n")) == 0
+
+
+def test_texts_are_compressed_and_come_back(spark):
+    from cairn.llm import paragraph_dedup
+
+    texts = ["", "é　x" * 9, None, "\x00", "word other " * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = paragraph_dedup.packed(rows).orderBy("id").toArrow().combine_chunks()
+    assert paragraph_dedup.unpacked(got["text"].combine_chunks()) == texts
+    assert got["text_hash"].to_pylist() == [r.h for r in rows.orderBy("id").selectExpr("xxhash64(text) h").collect()]
+    assert len(got["text"][4].as_py()) < 1000
