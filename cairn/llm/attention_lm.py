@@ -29,6 +29,7 @@ the split; very long texts are scored whole, in batches of windows; an empty tab
 from __future__ import annotations
 
 import base64
+import ctypes
 import math
 import re
 from collections import Counter
@@ -50,6 +51,7 @@ BATCH, RATE, START_STEPS, START_SPANS, EPOCHS, ROUNDS, SHARE = 128, 4e-3, 2000,
 SPAN, EVERY = 48, 2048
 FREQUENT, REMEMBERED = 1 << 18, 200_000
 ADD, MIX = 0.1, 0.6
+LIMIT = 60.0  # of logits in training, on either side
 START, NONE = SLOTS, SLOTS + 1  # what stands before a text, as an input only; no subword
 BLANK = re.compile(rb"[\t-\r ]+")
 
@@ -192,95 +194,174 @@ def start_parameters(rng: np.random.Generator, slot_counts: np.ndarray) -> dict[
     }
 
 
+def keep_memory() -> None:
+    """Lets this process keep memory that is freed: glibc gives back arrays of some hundred KB, and each step would ask for new pages."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD: larger ones are given back
+        mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
+
+
 def soft_step(logits: np.ndarray, target: np.ndarray) -> float:
-    """The summed loss of targets; logits become its gradient."""
+    """The summed loss of targets; logits, which it keeps within LIMIT, become its gradient."""
     rows = np.arange(len(target))
-    logits -= logits.max(1, keepdims=True)
-    there = logits[rows, target].copy()
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
+    there = logits[rows, target].sum(dtype=np.float64)
     np.exp(logits, out=logits)
-    total = logits.sum(1, keepdims=True)
-    logits /= total
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (1 / total)[:, None]
     logits[rows, target] -= 1
-    return float(np.log(total).sum() - there.sum())
+    return float(np.log(total).sum(dtype=np.float64) - there)
+
+
+def equal_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, list[int]]]:
+    """The different values of x, each place's among them, and how `row_sums` adds what stands at their places: those of each
+    value, filled up with the place len(x) to 1, 2, 4, .. and how many values have so many."""
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.diff(x[order], prepend=-1))
+    counts = np.diff(np.append(first, len(x)))
+    kind = np.ceil(np.log2(counts)).astype(np.int64)
+    by_kind = np.argsort(kind, kind="stable")
+    rank, at = np.empty_like(by_kind), np.empty_like(order)
+    rank[by_kind] = np.arange(len(by_kind))
+    at[order] = np.repeat(rank, counts)
+    first, counts, size = first[by_kind], counts[by_kind], 1 << kind[by_kind]
+    each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    places = np.where(each < np.repeat(counts, size), order.take(np.repeat(first, size) + each, mode="clip"), len(x))
+    return x[order[first]], at, (places, np.bincount(kind).tolist())
+
+
+def row_sums(rows: np.ndarray, places: np.ndarray, kinds: list[int]) -> np.ndarray:
+    """The sums of rows (the last one is of zeros) for each value; add.reduceat takes several times as long."""
+    rows, out, at = rows.take(places, axis=0), [], 0
+    for k, n in enumerate(kinds):
+        out.append(rows[at : at + (n << k)].reshape(n, 1 << k, rows.shape[1]).sum(1))
+        at += n << k
+    return np.concatenate(out)
+
+
+def with_ones(t: np.ndarray) -> np.ndarray:
+    """t and a column of ones, which carries the biases."""
+    out = np.empty((len(t), t.shape[1] + 1), t.dtype)
+    out[:, :-1], out[:, -1] = t, 1
+    return out
+
+
+def in_windows(t: np.ndarray) -> np.ndarray:
+    """Of t (n, places, width): a view of the CONTEXT + SCORED places of each window."""
+    n, places, width = t.shape
+    a, b, c = t.strides
+    return np.lib.stride_tricks.as_strided(t, (n, (places - CONTEXT) // SCORED, CONTEXT + SCORED, width), (a, SCORED * b, b, c))
 
 
 def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-    """Mean loss in nats over the targets that are slots, and its gradients."""
-    scale = 1 / math.sqrt(WIDTH)
+    """Mean loss in nats over the targets y that are slots, and its gradients. x: CONTEXT inputs more than y has targets, which
+    are one window or several that follow each other. What depends on one slot alone is computed once for each."""
+    scale, dtype = 1 / math.sqrt(WIDTH), p["E"].dtype
+    n, places = x.shape
+    some, at, sums = equal_rows(x.reshape(-1).astype(np.int16))
+    e = p["E"][some]
+    at = at.reshape(n, places)
+    own_at = np.ascontiguousarray(at[:, CONTEXT:])
+    windows = (n, (places - CONTEXT) // SCORED, SCORED, -1)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    e = p["E"][x]
-    own = e[:, CONTEXT:]
-    q, k, v = own @ p["Wq"], e @ p["Wk"], e @ p["Wv"]
-    s = q @ k.transpose(0, 2, 1) * scale + distance_bias(p["r"])
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = own + a @ v
-    z = h @ p["W1"] + p["b1"]
-    relu = np.maximum(z, 0)
+    k, v = (in_windows((e @ p[w]).take(at, axis=0)) for w in ("Wk", "Wv"))
+    q = (e @ p["Wq"] * scale).take(own_at, axis=0).reshape(windows)
+    a = q @ k.transpose(0, 1, 3, 2)
+    np.clip(a, -LIMIT, LIMIT, out=a)
+    np.exp(a, out=a)
+    a *= np.exp(distance_bias(p["r"])).astype(dtype)
+    part = 1 / (flat(a) @ np.ones(a.shape[-1], dtype))[:, None]
+    seen = flat(a @ v)
+    seen *= part
+    h = with_ones(seen)
+    h[:, :WIDTH] += e.take(own_at.reshape(-1), axis=0)
+    relu = h @ np.vstack([p["W1"], p["b1"]])
+    np.maximum(relu, 0, out=relu)
+    last = relu @ p["W2"]
+    last += h[:, :WIDTH]
     y = y.reshape(-1)
     rows = np.flatnonzero(y < SLOTS)
-    kind = y[rows] // EACH
+    kind = (y[rows] // EACH).astype(np.int16)
     order = np.argsort(kind, kind="stable")
     rows, kind = rows[order], kind[order]
-    y, n = y[rows], max(1, len(rows))
-    g = flat(h + relu @ p["W2"])[rows]
-    d = g @ p["C"] + p["cc"]
+    y, targets = y[rows], max(1, len(rows))
+    g = with_ones(last.take(rows, axis=0))
+    d = g @ np.vstack([p["C"], p["cc"]])
     loss = soft_step(d, kind)
-    out = {"C": g.T @ d, "cc": d.sum(0), "U": np.zeros_like(p["U"]), "c": np.zeros_like(p["c"])}
-    dg, d = d @ p["C"].T, np.empty((len(rows), EACH), g.dtype)
+    back, dg, d = g.T @ d, d @ p["C"].T, np.empty((len(rows), EACH), dtype)
+    out = {"C": back[:WIDTH], "cc": back[WIDTH]}
+    slots, back, more = np.vstack([p["U"], p["c"]]), np.zeros((WIDTH + 1, SLOTS), dtype), np.empty_like(dg)
     ends = np.cumsum(np.bincount(kind, minlength=CLASSES)).tolist()
-    parts = [(low, high, slice(i * EACH, (i + 1) * EACH)) for i, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if low < high]
-    for low, high, block in parts:
-        np.matmul(g[low:high], p["U"][:, block], out=d[low:high])
-    d += p["c"].reshape(CLASSES, EACH)[kind]
+    parts = [(slice(low, high), slice(i * EACH, (i + 1) * EACH)) for i, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if low < high]
+    for own, block in parts:
+        np.matmul(g[own], slots[:, block], out=d[own])
     loss += soft_step(d, y.astype(np.int64) % EACH)
-    for low, high, block in parts:
-        out["U"][:, block], out["c"][block] = g[low:high].T @ d[low:high], d[low:high].sum(0)
-        dg[low:high] += d[low:high] @ p["U"][:, block].T
-    whole = np.zeros((h.shape[0] * SCORED, WIDTH), h.dtype)
-    whole[rows] = dg
-    dg = whole.reshape(h.shape)
-    dz = (dg @ p["W2"].T) * (z > 0)
-    out |= {"W2": flat(relu).T @ flat(dg), "W1": flat(h).T @ flat(dz), "b1": dz.sum((0, 1))}
-    dh = dg + dz @ p["W1"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    total = ds.sum(0)
+    for own, block in parts:
+        np.matmul(g[own].T, d[own], out=back[:, block])
+        np.matmul(d[own], p["U"][:, block].T, out=more[own])
+    dg += more
+    out |= {"U": back[:WIDTH], "c": back[WIDTH]}
+    dh = np.zeros_like(last)
+    dh[rows] = dg
+    dz = dh @ p["W2"].T
+    dz *= relu > 0
+    back = h.T @ dz
+    out |= {"W2": relu.T @ dh, "W1": back[:WIDTH], "b1": back[WIDTH]}
+    dh += dz @ p["W1"].T
+    # of keys, values, queries and inputs, side by side; the last row stays 0
+    whole = np.zeros((n * places + 1, 4 * WIDTH), dtype)
+    by_place = whole[:-1].reshape(n, places, -1)
+    by_place[:, CONTEXT:, 3 * WIDTH :] = dh.reshape(n, -1, WIDTH)
+    dh *= part
+    ds = dh.reshape(windows) @ v.transpose(0, 1, 3, 2)
+    flat(ds)[...] -= np.vecdot(dh, seen)[:, None]
+    ds *= a
+    total = ds.sum((0, 1))
     out["r"] = np.array([np.diagonal(total, CONTEXT - t).sum() for t in range(CONTEXT + 1)], total.dtype)
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dh
-    out |= {"Wq": flat(own).T @ flat(dq), "Wk": flat(e).T @ flat(dk), "Wv": flat(e).T @ flat(dv)}
-    de = dk @ p["Wk"].T + dv @ p["Wv"].T
-    de[:, CONTEXT:] += dh + dq @ p["Wq"].T
-    out["E"] = np.zeros_like(p["E"])
-    order = np.argsort(x.reshape(-1), kind="stable")
-    some, first = np.unique(x.reshape(-1)[order], return_index=True)
-    out["E"][some] = np.add.reduceat(flat(de)[order], first)
-    return loss / n, {name: w / n for name, w in out.items()}
+    by_place[:, CONTEXT:, 2 * WIDTH : 3 * WIDTH] = (ds @ k).reshape(n, -1, WIDTH)
+    for i, back in enumerate((ds.transpose(0, 1, 3, 2) @ q, a.transpose(0, 1, 3, 2) @ dh.reshape(windows))):
+        for j in range(windows[1]):
+            by_place[:, j * SCORED : (j + 1) * SCORED + CONTEXT, i * WIDTH : (i + 1) * WIDTH] += back[:, j]
+    dk, dv, dq, de = np.split(row_sums(whole, *sums), 4, axis=1)
+    dq = dq * scale
+    out |= {"Wq": e.T @ dq, "Wk": e.T @ dk, "Wv": e.T @ dv, "E": np.zeros_like(p["E"])}
+    out["E"][some] = de + dk @ p["Wk"].T + dv @ p["Wv"].T + dq @ p["Wq"].T
+    return loss / targets, {name: w / targets for name, w in out.items()}
 
 
 def train(p: dict[str, np.ndarray], spans: np.ndarray, steps: int, rates: tuple[float, float], seed: int) -> dict[str, np.ndarray]:
-    """p after steps on windows of spans (rows of slots), in an order by chance, every window as often as any other but for
-    one time; the rate falls in a line."""
-    rng, p = np.random.default_rng(seed), {n: w.copy() for n, w in p.items()}
-    flat = spans.reshape(-1)
-    starts = (np.arange(len(spans))[:, None] * spans.shape[1] + SCORED * np.arange(SPAN // SCORED)).reshape(-1)
-    starts = starts[flat[starts + CONTEXT + 1] != NONE]
-    if not len(starts) or not steps:
-        return p
-    m = {n: np.zeros_like(w) for n, w in p.items()}
-    v = {n: np.zeros_like(w) for n, w in p.items()}
-    order, at = rng.permutation(len(starts)), 0
+    """p after steps on spans (rows of slots) of BATCH windows in all, in an order by chance, every span as often as any other but
+    for one time; the rate falls in a line."""
+    keep_memory()
+    rng, names = np.random.default_rng(seed), list(p)
+    if not len(spans) or not steps:
+        return {n: w.copy() for n, w in p.items()}
+    one, cuts = np.concatenate([p[n].reshape(-1) for n in names]), np.cumsum([0, *(p[n].size for n in names)]).tolist()
+    p = {n: one[a:b].reshape(p[n].shape) for n, a, b in zip(names, cuts, cuts[1:], strict=False)}  # views of one
+    m, v, step_of = np.zeros_like(one), np.zeros_like(one), np.empty_like(one)
+    order, at = rng.permutation(len(spans)), 0
     for step in range(1, steps + 1):
         if at >= len(order):
-            order, at = rng.permutation(len(starts)), 0
-        x, y = windows_at(flat, starts[order[at : at + BATCH]])
-        at += BATCH
+            order, at = rng.permutation(len(spans)), 0
+        before, at = at, at + step * BATCH // (SPAN // SCORED) - (step - 1) * BATCH // (SPAN // SCORED)
+        own = spans.take(order[before:at], axis=0)
+        x, y = own[:, :-1], own[:, CONTEXT + 1 :]
+        x = np.where(x == NONE, START, x)
         _, grads = loss_and_gradients(p, x, y)
+        g = np.concatenate([grads[n].reshape(-1) for n in names])
         rate = min(1, step / 50) * (rates[0] + (rates[1] - rates[0]) * step / steps)
-        for n, g in grads.items():
-            m[n] += 0.1 * (g - m[n])
-            v[n] += 0.01 * (g * g - v[n])
-            p[n] -= (rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=step_of)
+        g *= g
+        g *= 0.01
+        v *= 0.99
+        v += g
+        np.sqrt(np.multiply(v, 1 / (1 - 0.99**step), out=step_of), out=step_of)
+        step_of += 1e-8
+        np.divide(m, step_of, out=step_of)
+        step_of *= rate / (1 - 0.9**step)
+        one -= step_of
     return p
 
 
@@ -428,16 +509,21 @@ def training_spans(docs: DataFrame, slot: np.ndarray, path: str, pattern: str, w
 
     def run(batches):
         coder, slot = Subwords(path, pattern), shared.value
+        known: dict[bytes, bytes] = {}  # slots of words
         for batch in slices(batches):
             texts = zip(batch.column("seed").to_pylist(), batch.column("text").to_pylist(), strict=True)
             parts = [(seed, *part) for seed, t in texts for part in ([((t or "").encode().lower(), True, True)] if whole else spans_of(t))]
             words = [raw.split() for _, raw, _, _ in parts]
-            ids, lengths = coder.of([w for own in words for w in own])
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = list(set().union(*words) - known.keys())
+            ids, lengths = coder.of(new)
+            ends, raw = (2 * np.cumsum(lengths)).tolist(), slot[ids].tobytes()
+            known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             said, places, before = [], [], None
-            for (seed, _, begins, closes), a, b in zip(parts, ends[:-1], ends[1:], strict=True):
+            for (seed, _, begins, closes), own in zip(parts, words, strict=True):
                 before = np.full(CONTEXT + 1, START, np.int16) if begins else before
-                own = np.concatenate([before, slot[ids[a:b]], slot[-1:][: int(closes)]])
+                own = np.concatenate([before, np.frombuffer(b"".join([known[w] for w in own]), np.int16), slot[-1:][: int(closes)]])
                 before, n = own[-CONTEXT - 1 :], len(own) - CONTEXT - 1  # targets
                 own = np.concatenate([own, np.full(SPAN, NONE, np.int16)])
                 for i in range(0, n, SPAN):
@@ -571,6 +657,7 @@ def scored_parts(docs: DataFrame, model: Model, corpus: Corpus, path: str, patte
     end_known, n_frequent, weight = int(corpus.n_ends > 0), len(corpus.frequent), corpus.attended
 
     def run(batches):
+        keep_memory()
         model, lexicon = shared.value
         coder, row = Subwords(path, pattern), TaskContext.get().partitionId() << 36
         for batch in slices(batches):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from cairn.llm import attention_lm as lm
@@ -70,6 +71,53 @@ def test_gradients():
             assert grads[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=1e-4, abs=1e-7), name
 
 
+def test_gradients_of_windows_that_follow_each_other():
+    """A row of three windows, which share their context, is three rows of one."""
+    rng = np.random.default_rng(5)
+    p = {n: w.astype(np.float64) + rng.normal(0, 0.05, w.shape) for n, w in lm.start_parameters(rng, np.ones(lm.SLOTS)).items()}
+    s = np.minimum(rng.zipf(1.3, (4, lm.CONTEXT + 1 + lm.SPAN)), lm.SLOTS) - 1
+    s[1, -20:] = lm.NONE
+    x, y = np.where(s == lm.NONE, lm.START, s)[:, :-1], s[:, lm.CONTEXT + 1 :]
+    loss, grads = lm.loss_and_gradients(p, x, y)
+    parts = range(0, lm.SPAN, lm.SCORED)
+    apart = np.vstack([x[:, i : i + lm.CONTEXT + lm.SCORED] for i in parts]), np.vstack([y[:, i : i + lm.SCORED] for i in parts])
+    want, each = lm.loss_and_gradients(p, *apart)
+    assert loss == pytest.approx(want)
+    for name, g in grads.items():
+        assert g == pytest.approx(each[name], rel=1e-9, abs=1e-12), name
+
+
+def test_one_pass_takes_every_span_once(monkeypatch):
+    seen, own = [], lm.loss_and_gradients
+    monkeypatch.setattr(lm, "loss_and_gradients", lambda p, x, y: (seen.extend(map(tuple, y.tolist())), own(p, x, y))[1])
+    for n in (1, 43, 200):
+        spans = np.random.default_rng(n).integers(0, lm.SLOTS, (n, lm.CONTEXT + 1 + lm.SPAN)).astype(np.int16)
+        seen.clear()
+        lm.train(lm.start_parameters(np.random.default_rng(1), np.ones(lm.SLOTS)), spans, -(-n * (lm.SPAN // lm.SCORED) // lm.BATCH), (1e-3, 1e-4), 0)
+        assert sorted(seen) == sorted(map(tuple, spans[:, lm.CONTEXT + 1 :].tolist()))
+
+
+def test_sums_of_rows_that_share_a_value():
+    rng = np.random.default_rng(6)
+    x = np.append(np.minimum(rng.zipf(1.2, 997), 300), [400, 401, 401]).astype(np.int16)
+    some, at, sums = lm.equal_rows(x)
+    rows = np.vstack([rng.normal(size=(1000, 3)), np.zeros(3)])
+    assert sorted(some.tolist()) == np.unique(x).tolist() and (some[at] == x).all()
+    assert lm.row_sums(rows, *sums) == pytest.approx(np.array([rows[:-1][x == v].sum(0) for v in some]))
+
+
+def test_training_cuts_each_word_once(spark, docs, monkeypatch):
+    """What a word is cut into is kept, so a task's work in the tokenizer follows its different words."""
+    cut, of = [], lm.Subwords.of
+    monkeypatch.setattr(lm.Subwords, "of", lambda self, words: (cut.extend(words), of(self, words))[1])
+    text = "the cat sat on the mat " * 400
+    tasks = []
+    monkeypatch.setattr(type(docs([""])), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    lm.training_spans(docs([text]), np.arange(lm.Subwords(RANKS, P.PATTERN).size + 1) % lm.SLOTS, RANKS, P.PATTERN)
+    list(tasks[0]([pa.RecordBatch.from_pydict({"seed": [1, 2], "text": [text, text]})] * 3))
+    assert sorted(cut) == [b"cat", b"mat", b"on", b"sat", b"the"]
+
+
 def plain_scores(model, slots):
     """One subword at a time: attention over itself and the CONTEXT inputs before it, a class, a slot of the class."""
     p, s, out = model.p, [lm.START] * (lm.CONTEXT + 1) + list(slots), []
